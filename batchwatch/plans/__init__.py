@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "drift")
+MODULES = ("quality", "drift", "contracts", "monitoring", "incidents")
 
 
 def load_all():
