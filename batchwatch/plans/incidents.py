@@ -220,7 +220,7 @@ _REPORT = f"""ev AS (SELECT run_id, title, severity, row_number() OVER (PARTITIO
   decided AS (SELECT rca.run_id, severity, failure_types, summary, coalesce(kinds, []) AS kinds FROM rca),
   acted AS (SELECT *, {_POLICY} AS action_type FROM decided),
   rep AS (SELECT a.run_id, a.severity, a.failure_types, action_type, {_MODE} AS action_mode, action_type NOT IN ('retrain_model', 'observe') AS manual, action_type IN ('retrain_model', 'manual_review') AS ask, a.summary,
-    coalesce(concat('Primary evidence signals: ', q, '.'), 'No structured evidence was stored for this incident.') AS evidence_summary FROM acted a LEFT JOIN quoted ON a.run_id = quoted.run_id),
+    CASE WHEN q IS NULL THEN 'No structured evidence was stored for this incident.' ELSE concat('Primary evidence signals: ', q, '.') END AS evidence_summary FROM acted a LEFT JOIN quoted ON a.run_id = quoted.run_id),
   rep2 AS (SELECT *, CASE WHEN manual THEN 'manual_action_required' WHEN ask THEN 'awaiting_approval' ELSE 'report_ready' END AS report_status FROM rep)"""
 
 
