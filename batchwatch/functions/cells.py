@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +44,7 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     The pattern guard keeps suffix forms such as ``1d`` out, which a plain cast accepts.
     """
     if dtype is None or isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+        return stripped_to_number(strip(c))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.when(~F.isnan(c), c.cast("double"))
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
@@ -51,6 +52,21 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.lit(None).cast("double")
 
 
+def stripped_to_number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+
+
+def stripped_is_marker(text: Column) -> Column:
+    return F.coalesce(F.upper(text).isin(*MISSING_MARKERS), F.lit(False))
+
+
+def with_stripped(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Trim text columns in a projection of their own: the rules that follow read a cell several times, and
+    Spark keeps a projection whose results are used more than once, so each cell is trimmed once."""
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: strip(F.col(c)) for c in texts}) if texts else df
+
+
 def to_boolean(c: Column) -> Column:
     token = F.lower(strip(c.cast("string")))
     return F.when(token.isin(*TRUE_TOKENS), True).when(token.isin(*FALSE_TOKENS), False)

@@ -6,16 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwatch.functions import ordering
-from batchwatch.functions.cells import to_number
+from batchwatch.functions.cells import stripped_to_number, to_number, with_stripped
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature, value) rows for the non-null numeric cells of ``columns``."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = [x for c in columns for x in (F.lit(c), to_number(F.col(c), types[c]))]
-    long = df.select(*keys, F.stack(F.lit(len(columns)), *cells).alias("feature", "value"))
+    number = lambda c: (
+        stripped_to_number(F.col(c)) if isinstance(types[c], T.StringType) else to_number(F.col(c), types[c])
+    )
+    cells = [x for c in columns for x in (F.lit(c), number(c))]
+    trimmed = with_stripped(df.select(*keys, *columns), columns)
+    long = trimmed.select(*keys, F.stack(F.lit(len(columns)), *cells).alias("feature", "value"))
     return long.filter(F.col("value").isNotNull())
 
 

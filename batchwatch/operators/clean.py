@@ -18,10 +18,12 @@ from batchwatch.config import DEFAULTS
 from batchwatch.functions import quantiles
 from batchwatch.functions.cells import (
     is_identifier,
-    is_missing_marker,
     strip,
+    stripped_is_marker,
+    stripped_to_number,
     to_boolean,
     to_number,
+    with_stripped,
     without_markers,
 )
 from batchwatch.operators import profile
@@ -70,26 +72,6 @@ def mask_unseen_enum(text: Column, allowed: Sequence[str]) -> CellRule:
     return CellRule(F.when(~unseen, text), unseen)
 
 
-def cell_rule(rule: ColumnRule, dtype: T.DataType, bounds: str = "percentile") -> CellRule:
-    """All rules for one column: markers, then the rule of its contract type. At most one issue per cell."""
-    raw = F.col(rule.name)
-    marker = is_missing_marker(raw) if isinstance(dtype, T.StringType) else F.lit(False)
-    if rule.dtype in ("int", "float"):
-        number = coerce_numeric(raw, dtype)
-        ranged = mask_out_of_range(number.value, rule.bounds(bounds))
-        return CellRule(ranged.value, marker | number.issue | ranged.issue)
-    if rule.dtype == "bool":
-        flag = sanitize_boolean(raw, dtype)
-        return CellRule(flag.value, marker | flag.issue)
-    if rule.dtype == "datetime" and not isinstance(dtype, T.StringType):
-        return CellRule(raw, F.lit(False))
-    text = strip((without_markers(raw) if isinstance(dtype, T.StringType) else raw).cast("string"))
-    if rule.is_enum:
-        known = mask_unseen_enum(text, rule.allowed())
-        return CellRule(known.value, marker | known.issue)
-    return CellRule(text, marker)
-
-
 def issue_name(column: str) -> str:
     return f"_issue_{column}"
 
@@ -97,29 +79,74 @@ def issue_name(column: str) -> str:
 def flag_rows(
     df: DataFrame, rules: Sequence[ColumnRule], keep: Sequence[str] = (), bounds: str = "percentile"
 ) -> DataFrame:
-    """Masked cells, one issue flag per column, ``issue_count`` and ``is_quarantined``; one projection."""
+    """Masked cells, one issue flag per column, ``issue_count`` and ``is_quarantined``.
+
+    Written as a chain of projections - trim, parse, apply the rule - because each step's result is read several
+    times by the next: Spark then computes it once per cell, all inside one generated stage. A cell has at most
+    one issue: a missing marker, an unreadable value, or a value that is not allowed.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    cells = {r.name: cell_rule(r, types[r.name], bounds) for r in rules if r.name in types}
-    flagged = df.select(
+    rules_here = [r for r in rules if r.name in types]
+    is_text = {r.name: isinstance(types[r.name], T.StringType) for r in rules_here}
+    trimmed = with_stripped(df.select(*keep, *[r.name for r in rules_here]), [r.name for r in rules_here])
+
+    parsed, values, issues = [], {}, {}
+    for r in rules_here:
+        raw, value = F.col(r.name), F.col(f"_value_{r.name}")
+        marker = stripped_is_marker(raw) if is_text[r.name] else F.lit(False)
+        parsed.append(parse_cell(raw, r, types[r.name], marker).alias(f"_value_{r.name}"))
+        unreadable = raw.isNotNull() & value.isNull()  # a missing marker is unreadable, too
+        values[r.name], issues[r.name] = value, unreadable
+        if r.dtype in ("int", "float"):
+            masked = mask_out_of_range(value, r.bounds(bounds))
+        elif r.is_enum and r.dtype != "bool":
+            masked = mask_unseen_enum(value, r.allowed())
+        else:
+            continue
+        values[r.name], issues[r.name] = masked.value, unreadable | masked.issue
+
+    staged = trimmed.select("*", *parsed)
+    flagged = staged.select(
         *keep,
-        *[c.value.alias(n) for n, c in cells.items()],
-        *[c.issue.cast("int").alias(issue_name(n)) for n, c in cells.items()],
+        *[values[r.name].alias(r.name) for r in rules_here],
+        *[issues[r.name].cast("int").alias(issue_name(r.name)) for r in rules_here],
     )
-    total = sum((F.col(issue_name(n)) for n in cells), F.lit(0))
-    limit = DEFAULTS.row_issue_ratio
+    total = sum((F.col(issue_name(r.name)) for r in rules_here), F.lit(0))
     return flagged.withColumn("issue_count", total.cast("bigint")).withColumn(
-        "is_quarantined", F.col("issue_count") / max(len(rules), 1) >= limit
+        "is_quarantined", F.col("issue_count") / max(len(rules), 1) >= DEFAULTS.row_issue_ratio
     )
 
 
-def accepted(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(~F.col("is_quarantined"))
+def parse_cell(text: Column, rule: ColumnRule, dtype: T.DataType, marker: Column) -> Column:
+    """Value of a trimmed cell in its contract type; null when missing or unreadable."""
+    is_text = isinstance(dtype, T.StringType)
+    if rule.dtype in ("int", "float"):
+        return stripped_to_number(text) if is_text else to_number(text, dtype)
+    if rule.dtype == "bool":
+        return to_boolean(text)
+    if rule.dtype == "datetime" and not is_text:
+        return text
+    return F.when(~marker, text) if is_text else text.cast("string")
+
+
+def only_rows(flagged: DataFrame, condition: Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows that meet a condition on computed columns.
+
+    A plain filter would be pushed below the projections and evaluate every cell rule a second time; emitting
+    each row from an array that is null for the others keeps the condition where its inputs already are.
+    """
+    columns = list(columns or flagged.columns)
+    return flagged.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
+
+
+def accepted(flagged: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    return only_rows(flagged, ~F.col("is_quarantined"), columns)
 
 
 def quarantined(flagged: DataFrame, rules: Sequence[ColumnRule], keep: Sequence[str] = ()) -> DataFrame:
     """Removed rows with their masked values."""
     names = [r.name for r in rules if r.name in flagged.columns]
-    return flagged.filter("is_quarantined").select(*keep, *names, "issue_count")
+    return only_rows(flagged, F.col("is_quarantined"), [*dict.fromkeys([*keep, *names]), "issue_count"])
 
 
 def medians(rows: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = ()) -> DataFrame:
@@ -207,8 +234,9 @@ def impute(
     flagged: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
     """Accepted rows with missing cells filled, types not yet coerced."""
-    rows, lookup = with_fallbacks(accepted(flagged), rules, keys)
     names = [r for r in rules if r.name in flagged.columns]
+    kept = accepted(flagged, [*dict.fromkeys([*keys, *keep]), *[r.name for r in names]])
+    rows, lookup = with_fallbacks(kept, rules, keys)
     return rows.select(*dict.fromkeys([*keys, *keep]), *[imputed(r, lookup).alias(r.name) for r in names])
 
 
@@ -216,8 +244,9 @@ def clean_batch(
     flagged: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
     """Accepted rows, imputed, coerced and normalised."""
-    rows, lookup = with_fallbacks(accepted(flagged), rules, keys)
     names = [r for r in rules if r.name in flagged.columns]
+    kept = accepted(flagged, [*dict.fromkeys([*keys, *keep]), *[r.name for r in names]])
+    rows, lookup = with_fallbacks(kept, rules, keys)
     final = [normalized(r, coerced(r, imputed(r, lookup))).alias(r.name) for r in names]
     return rows.select(*dict.fromkeys([*keys, *keep]), *final)
 

@@ -59,9 +59,10 @@ def check_range(
         for r in rules
         if r.name in df.columns and not r.name.startswith("_") and r.bounds(bounds)
     }
+    numbers = df.select(*keys, *[to_number(F.col(c), df.schema[c].dataType).alias(c) for c in limits])
     aggregates, records = [], []
     for i, (name, (lo, hi)) in enumerate(limits.items()):
-        v = to_number(F.col(name), df.schema[name].dataType)
+        v = F.col(name)
         aggregates += [
             F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_mn{i}"), F.max(v).alias(f"_mx{i}"),
             F.count_if(v < lo).alias(f"_lo{i}"), F.count_if(v > hi).alias(f"_hi{i}"),
@@ -75,7 +76,7 @@ def check_range(
                 F.col(f"_lo{i}").alias("below_min_count"), F.col(f"_hi{i}").alias("above_max_count"),
             )
         )
-    wide = _aggregate(df, keys, aggregates)
+    wide = _aggregate(numbers, keys, aggregates)
     return wide.select(*keys, F.inline(F.array(*records))).filter(F.col("observed_min").isNotNull())
 
 

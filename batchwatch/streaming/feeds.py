@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwatch.config import DEFAULTS
 
@@ -56,7 +57,8 @@ def stream_to_table(stream: DataFrame, work: str, mode: str = "append") -> DataF
     path = f"{work}/table"
     run_available(stream, work, batch_writer(path), mode)
     spark = stream.sparkSession
-    return spark.read.option("basePath", path).schema(stream.schema.add("epoch", "int")).parquet(path)
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def newest_epoch(table: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -32,14 +32,13 @@ def ingest(stream: DataFrame, rules: Sequence[ColumnRule], work: str, keep: Sequ
     Accepted and quarantined rows go to ``work``/accepted and ``work``/quarantine. A batch without a usable row
     counts as failed.
     """
-    names = [r.name for r in rules]
 
     def handle(df: DataFrame, epoch: int) -> None:
         flagged = clean.flag_rows(df, rules, keep=["run_id", *keep])
         cleaned = clean.clean_batch(flagged, rules, keys=["run_id"], keep=keep)
         write_by_run(cleaned, f"{work}/accepted/epoch={epoch}")
         write_by_run(
-            flagged.filter("is_quarantined").select("run_id", *keep, *names, "issue_count"),
+            clean.quarantined(flagged, rules, ["run_id", *keep]),
             f"{work}/quarantine/epoch={epoch}",
         )
         audit = clean.cleaning_audit(flagged, ["run_id"]).withColumn(
