@@ -42,8 +42,8 @@ def count_at_or_below(df: DataFrame, cuts: str, value: str, longest: int, out: s
     step = 1 << max(longest, 1).bit_length() - 1
     df = df.withColumn(out, F.lit(0))
     while step:
-        fits = F.get(F.col(cuts), F.col(out) + (step - 1)) <= F.col(value)
-        df = df.withColumn(out, F.when(fits, F.col(out) + step).otherwise(F.col(out)))
+        fits = f"get(`{cuts}`, `{out}` + {step - 1}) <= `{value}`"
+        df = df.withColumn(out, F.expr(f"CASE WHEN {fits} THEN `{out}` + {step} ELSE `{out}` END"))
         step >>= 1
     return df
 

@@ -36,61 +36,62 @@ def value_histogram(
     )
 
 
-def rank_spots(probabilities: Sequence[float], total: Column) -> list[Column]:
-    """Zero-based, possibly fractional rank of each probability."""
-    return [F.lit(float(p)) * (total - 1) for p in probabilities]
+# The expressions below repeat per probability; they are written as SQL text, which reaches the JVM in one call.
 
 
-def rank_hits(spots: Sequence[Column], value: str, count: str, upto: str) -> list[Column]:
+def spot(probability: float, total: str) -> str:
+    """SQL of the zero-based, possibly fractional rank of a probability."""
+    return f"{float(probability)!r}D * (`{total}` - 1)"
+
+
+def rank_hits(probabilities: Sequence[float], total: str, value: str, count: str, upto: str) -> list[Column]:
     """Aggregates that pick the two values around every wanted rank from rows with running counts."""
-    hit = lambda r: F.max(F.when((r < F.col(upto)) & (r >= F.col(upto) - F.col(count)), F.col(value)))
-    return [
-        c
-        for i, s in enumerate(spots)
-        for c in (hit(F.floor(s)).alias(f"_lo{i}"), hit(F.ceil(s)).alias(f"_hi{i}"))
-    ]
+    hit = "max(CASE WHEN {r} < `{u}` AND {r} >= `{u}` - `{c}` THEN `{v}` END)"
+    out = []
+    for i, p in enumerate(probabilities):
+        for name, rounding in ((f"_lo{i}", "floor"), (f"_hi{i}", "ceil")):
+            rank = f"{rounding}({spot(p, total)})"
+            out.append(F.expr(hit.format(r=rank, u=upto, c=count, v=value)).alias(name))
+    return out
 
 
-def interpolate(probabilities: Sequence[float], total: Column) -> Column:
+def interpolate(probabilities: Sequence[float], total: str) -> Column:
     """Array of linear-interpolation quantiles from the ``rank_hits`` columns."""
-    parts = []
-    for i, spot in enumerate(rank_spots(probabilities, total)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        parts.append(F.when(hi == lo, lo).otherwise(lo + (hi - lo) * (spot - F.floor(spot))))
-    return F.array(*parts)
+    parts = [
+        f"CASE WHEN _hi{i} = _lo{i} THEN _lo{i} "
+        f"ELSE _lo{i} + (_hi{i} - _lo{i}) * ({spot(p, total)} - floor({spot(p, total)})) END"
+        for i, p in enumerate(probabilities)
+    ]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def exact_quantiles(
     hist: DataFrame,
     keys: Sequence[str],
     probabilities: Sequence[float],
-    counts: Sequence[str] = ("n",),
+    count: str = "n",
     value: str = "value",
     buckets: int | None = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """keys, group total of every count column, and ``q``: one quantile per probability, weighted by the
-    first count column.
+    """keys, group total of the count column, and ``q``: one quantile per probability.
 
     Only the value ranges that hold a wanted rank are ordered; all other rows stop at their bucket total.
     """
-    count = counts[0]
-    bucketed = ordering.with_bucket(hist, keys, value, buckets, counts, bounded)
-    offsets = ordering.bucket_offsets(bucketed, keys, counts)
-    spots = rank_spots(probabilities, F.col(f"_all_{count}"))
-    below, inside = F.col(f"_below_{count}"), F.col(f"_in_{count}")
-    wanted = F.lit(False)
-    for r in [f(s) for s in spots for f in (F.floor, F.ceil)]:
-        wanted = wanted | ((r >= below) & (r < below + inside))
-    kept = ordering.attach_offsets(bucketed, offsets.filter(wanted), keys, counts, bounded)
-    upto = kept.withColumn("_upto", below + F.sum(count).over(ordering.within_bucket(keys, value)))
-    totals = [f"_all_{c}" for c in counts]
-    found = upto.groupBy(*keys, *totals).agg(*rank_hits(spots, value, count, "_upto"))
-    return found.select(
-        *keys,
-        *[F.col(f"_all_{c}").alias(c) for c in counts],
-        interpolate(probabilities, F.col(f"_all_{count}")).alias("q"),
+    bucketed = ordering.with_bucket(hist, keys, value, buckets, [count], bounded)
+    offsets = ordering.bucket_offsets(bucketed, keys, [count])
+    total = f"_all_{count}"
+    ranks = [f"{rounding}({spot(p, total)})" for p in probabilities for rounding in ("floor", "ceil")]
+    inside = "{r} >= `_below_{c}` AND {r} < `_below_{c}` + `_in_{c}`"
+    wanted = F.expr(" OR ".join(f"({inside.format(r=r, c=count)})" for r in ranks))
+    kept = ordering.attach_offsets(bucketed, offsets.filter(wanted), keys, [count], bounded)
+    running = F.sum(count).over(ordering.within_bucket(keys, value))
+    found = (
+        kept.withColumn("_upto", F.col(f"_below_{count}") + running)
+        .groupBy(*keys, total)
+        .agg(*rank_hits(probabilities, total, value, count, "_upto"))
     )
+    return found.select(*keys, F.col(total).alias(count), interpolate(probabilities, total).alias("q"))
 
 
 def approximate_quantiles(
@@ -103,13 +104,14 @@ def approximate_quantiles(
     )
 
 
-def ks_pvalue(statistic: Column, n: Column, m: Column) -> Column:
+def ks_pvalue(statistic: str, n: str, m: str) -> Column:
     """Two-sided asymptotic Smirnov probability; 1 where a side is empty or the statistic is about zero."""
-    lam = statistic * F.sqrt(n.cast("double") * m / (n + m))
-    term = lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * lam * lam)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
-    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(2.0) * series))
-    return F.when((n == 0) | (m == 0) | (lam < 0.2), F.lit(1.0)).otherwise(tail)
+    lam = f"(`{statistic}` * sqrt(CAST(`{n}` AS DOUBLE) * `{m}` / (`{n}` + `{m}`)))"
+    return F.expr(
+        f"""CASE WHEN `{n}` = 0 OR `{m}` = 0 OR {lam} < 0.2 THEN 1.0D
+        ELSE greatest(0.0D, least(1.0D, 2.0D * aggregate(sequence(1, 100), 0.0D,
+          (acc, k) -> acc + pow(-1.0D, k - 1) * exp(-2.0D * k * k * {lam} * {lam})))) END"""
+    )
 
 
 def linspace(parts: int) -> list[float]:

@@ -61,11 +61,23 @@ def psi(hist: DataFrame, keys: Sequence[str] = (), bins: int = 10, buckets: int
     Repeated cut points collapse; values outside the reference range belong to no bin but stay in the
     denominator; fewer than two cut points score 0.
     """
+    both = psi_from_cuts(hist, ordered_pass(hist, keys, bins, buckets), keys, bins)
+    return both.filter(F.col("ref_n") > 0).select(*keys, "feature", "ref_n", "cur_n", "psi_score")
+
+
+def ordered_pass(hist: DataFrame, keys: Sequence[str], bins: int, buckets: int | None) -> DataFrame:
+    """KS statistic and reference quantiles ``q`` per feature from one running total over the distinct values."""
     group = [*keys, "feature"]
-    cuts = quantiles.exact_quantiles(
-        hist, group, quantiles.linspace(bins), ["ref_n", "cur_n"], buckets=buckets, bounded=not keys
+    running = ordering.running_totals(hist, group, "value", ["ref_n", "cur_n"], buckets, bounded=not keys)
+    steps = quantiles.linspace(bins)
+    found = running.groupBy(*group, "_all_ref_n", "_all_cur_n").agg(
+        F.coalesce(F.max(cdf_gap()), F.lit(0.0)).alias("ks_score"),
+        *quantiles.rank_hits(steps, "_all_ref_n", "value", "ref_n", "upto_ref_n"),
+    )
+    return found.select(
+        *group, F.col("_all_ref_n").alias("all_ref"), F.col("_all_cur_n").alias("all_cur"), "ks_score",
+        quantiles.interpolate(steps, "_all_ref_n").alias("q"),
     )
-    return psi_from_cuts(hist, cuts.withColumnsRenamed({"ref_n": "all_ref", "cur_n": "all_cur"}), keys, bins)
 
 
 def psi_from_cuts(hist: DataFrame, cuts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
@@ -84,20 +96,16 @@ def psi_from_cuts(hist: DataFrame, cuts: DataFrame, keys: Sequence[str], bins: i
         .groupBy(*group, *passed, "_points", "_bin")
         .agg(F.sum("ref_n").alias("r"), F.sum("cur_n").alias("c"))
     )
-    share = lambda n, total: F.when(n == 0, F.lit(EMPTY_BIN_SHARE)).otherwise(n / F.greatest(total, F.lit(1)))
-    slot = lambda side, i: F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col(side))), F.lit(0))
-    wide = counted.groupBy(*group, *passed, "_points").agg(
-        F.array(*[slot("r", i) for i in range(1, bins + 1)]).alias("_r"),
-        F.array(*[slot("c", i) for i in range(1, bins + 1)]).alias("_c"),
+    slots = lambda side: F.expr(
+        f"array({', '.join(f'coalesce(sum(CASE WHEN _bin = {i} THEN {side} END), 0)' for i in range(1, bins + 1))})"
     )
-    pairs = F.slice(F.arrays_zip("_r", "_c"), 1, F.greatest(F.col("_points") - 1, F.lit(1)))
-
-    def term(pair: Column) -> Column:
-        c, r = share(pair["_c"], F.col("all_cur")), share(pair["_r"], F.col("all_ref"))
-        return (c - r) * F.ln(c / r)
-
-    score = F.when(F.col("_points") < 2, F.lit(0.0)).otherwise(
-        F.aggregate(F.transform(pairs, term), F.lit(0.0), lambda acc, t: acc + t)
+    wide = counted.groupBy(*group, *passed, "_points").agg(slots("r").alias("_r"), slots("c").alias("_c"))
+    share = lambda n, total: f"CASE WHEN {n} = 0 THEN {EMPTY_BIN_SHARE}D ELSE {n} / greatest({total}, 1) END"
+    score = F.expr(
+        f"""CASE WHEN _points < 2 THEN 0.0D ELSE aggregate(
+          transform(slice(arrays_zip(_r, _c), 1, greatest(_points - 1, 1)),
+            p -> named_struct('r', {share('p._r', 'all_ref')}, 'c', {share('p._c', 'all_cur')})),
+          0.0D, (acc, s) -> acc + (s.c - s.r) * ln(s.c / s.r)) END"""
     )
     return wide.select(*group, *passed, score.alias("psi_score")).withColumnsRenamed(
         {"all_ref": "ref_n", "all_cur": "cur_n"}
@@ -105,11 +113,11 @@ def psi_from_cuts(hist: DataFrame, cuts: DataFrame, keys: Sequence[str], bins: i
 
 
 def cdf_gap() -> Column:
-    return F.abs(F.try_divide("upto_ref_n", "_all_ref_n") - F.try_divide("upto_cur_n", "_all_cur_n"))
+    return F.expr("abs(try_divide(upto_ref_n, _all_ref_n) - try_divide(upto_cur_n, _all_cur_n))")
 
 
 def with_pvalue(df: DataFrame) -> DataFrame:
-    return df.withColumn("ks_pvalue", quantiles.ks_pvalue(F.col("ks_score"), F.col("ref_n"), F.col("cur_n")))
+    return df.withColumn("ks_pvalue", quantiles.ks_pvalue("ks_score", "ref_n", "cur_n"))
 
 
 def ks(hist: DataFrame, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
@@ -139,26 +147,8 @@ def data_drift(
     The ordered pass is shared: one running total per distinct value yields the KS gap and the reference
     quantiles together; a second read of the same histogram fills the PSI bins.
     """
-    group = [*keys, "feature"]
-    running = ordering.running_totals(hist, group, "value", ["ref_n", "cur_n"], buckets, bounded=not keys)
-    steps = quantiles.linspace(bins)
-    total = F.col("_all_ref_n")
-    ordered = (
-        running.groupBy(*group, "_all_ref_n", "_all_cur_n")
-        .agg(
-            F.coalesce(F.max(cdf_gap()), F.lit(0.0)).alias("ks_score"),
-            *quantiles.rank_hits(quantiles.rank_spots(steps, total), "value", "ref_n", "upto_ref_n"),
-        )
-        .select(
-            *group,
-            total.alias("all_ref"),
-            F.col("_all_cur_n").alias("all_cur"),
-            "ks_score",
-            quantiles.interpolate(steps, total).alias("q"),
-        )
-    )
     comparable = (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
-    both = with_pvalue(psi_from_cuts(hist, ordered, keys, bins)).filter(comparable)
+    both = with_pvalue(psi_from_cuts(hist, ordered_pass(hist, keys, bins, buckets), keys, bins)).filter(comparable)
     return scored(both).withColumn("type", F.lit("data_drift")).withColumnRenamed("feature", "feature_name")
 
 

@@ -89,13 +89,13 @@ VIEWS = {
           CASE WHEN event_type = 'click' THEN 'drift' WHEN event_type = 'error' THEN 'root_cause' ELSE 'data_quality' END AS finding_type,
           CASE WHEN event_type = 'click' THEN user_id * 10 + event_id % 7 + 1 END AS finding_id, ts AS created_at
         FROM events""",
+    # Version numbers grow with the id; at most one active baseline per model.
     "baselines": """
-        SELECT o_orderkey AS id, o_custkey AS model_id,
-          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version,
-          CASE WHEN o_orderstatus = 'F' THEN 'draft' ELSE 'approved' END AS status,
-          coalesce(o_orderkey = max(CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 3 = 0 THEN o_orderkey END)
-            OVER (PARTITION BY o_custkey), false) AS is_active, o_orderdate AS created_at
-        FROM orders""",
+        SELECT o.o_orderkey AS id, o.o_custkey AS model_id, o.o_orderkey + 1 AS version,
+          CASE WHEN o.o_orderstatus = 'F' THEN 'draft' ELSE 'approved' END AS status,
+          coalesce(o.o_orderkey = a.active_id, false) AS is_active, o.o_orderdate AS created_at
+        FROM orders o LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS active_id FROM orders
+          WHERE o_orderstatus <> 'F' AND o_orderkey % 3 = 0 GROUP BY o_custkey) a ON o.o_custkey = a.o_custkey""",
     "action_log": """
         SELECT event_id AS id, user_id AS remediation_run_id, ts AS created_at,
           CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'pending_promotion'

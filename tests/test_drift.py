@@ -2,8 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from batchwatch.functions import quantiles
 from batchwatch.operators import drift
 
@@ -79,7 +77,7 @@ def test_pvalue(spark):
     for lam, want in ((1.36, 0.0495), (0.1, 1.0), (1.63, 0.0098)):
         d = lam / np.sqrt(n * n / (2 * n))
         df = spark.createDataFrame([(float(d), n, n)], "d double, n bigint, m bigint")
-        got = df.select(quantiles.ks_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p")).first()["p"]
+        got = df.select(quantiles.ks_pvalue("d", "n", "m").alias("p")).first()["p"]
         assert got == pytest.approx(want, abs=2e-4)
 
 
