@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_secrets",)
+MODULES = ("q_secrets", "q_bpe")
 
 
 def load_all() -> tuple[dict, dict]:
