@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_host_rules", "q_secrets", "q_shards", "q_bpe")
+MODULES = ("q_host_rules", "q_secrets", "q_shards", "q_language", "q_bpe")
 
 
 def load_all() -> tuple[dict, dict]:
