@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the cluster, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_batchwatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="batchwatch-code-")) / "batchwatch.zip"  # Spark's file server hands it out
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.glob("batchwatch/**/*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(target))
+    context._batchwatch_shipped = True

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
-MODULES = ("q_host_rules", "q_secrets", "q_shards", "q_language", "q_bpe")
+from batchwatch.llm.common import ship
+
+MODULES = ("q_host_rules", "q_secrets", "q_shards", "q_language", "q_jaccard", "q_bpe")
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def load_all() -> tuple[dict, dict]:
@@ -12,6 +24,6 @@ def load_all() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for name in MODULES:
         module = importlib.import_module(f"batchwatch.llm.{name}")
-        queries |= module.QUERIES
+        queries |= {k: _shipped(q) for k, q in module.QUERIES.items()}
         sql |= getattr(module, "ORACLES", {})
     return queries, sql
