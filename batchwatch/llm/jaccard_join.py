@@ -36,8 +36,8 @@ WORDS, PERCENT = 5, 75
 HOT = 64
 #: Largest block of a hub, in nodes and in shingles.
 BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
-#: Ids up to this number are sent to all executors (16 MB); beyond it the join shuffles.
-MOST_BROADCAST_IDS = 2_000_000
+#: Ids up to this number are sent to all executors (tens of MB); beyond it the join shuffles.
+MOST_BROADCAST_IDS = 500_000
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -51,18 +51,19 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def node_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (null without words) and number of shingles of each row."""
+    """doc_id, hash of the text, node (null without words) and number of shingles of each row."""
     id_field = docs.select("doc_id").schema.fields[0].dataType.simpleString()
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64())],
-                names=["doc_id", "node", "n"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64())],
+                names=["doc_id", "text_key", "node", "n"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(nodes, f"doc_id {id_field}, node bigint, n bigint")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(nodes, f"doc_id {id_field}, text_key bigint, node bigint, n bigint")
 
 
 def demand(n: int) -> int:
@@ -227,8 +228,9 @@ def block_links(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("label", "i", "j").applyInArrow(links, "node bigint, to bigint, links bigint")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links, one row for each row of ``docs``."""
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_key, label, n_shingles, component_id and n_links, one row for each row of ``docs``. ``label`` names the
+    class, null without words."""
     nodes = written(node_table(docs, words), "nodes")
     sets = written(alive_sets(docs, nodes.filter("node is not null"), words, percent), "sets")
     rows = written(prefix_rows(sets, percent), "prefixes")
@@ -251,17 +253,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     totals = counted.groupBy("node").agg(F.sum("links").alias("links"))
     groups = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     placed = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = placed.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    joined = placed.join(classes, "label").filter("k > 1 or copies > 1").join(totals, "node", "left")
-    known = written(joined.select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    first = placed.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    joined = placed.join(first, "label").filter("k > 1 or copies > 1").join(totals, "node", "left")
+    known = written(joined.select("node", "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     return nodes.join(known, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "text_key", F.coalesce("label", "node").alias("label"), F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, one row for each row of ``docs``."""
+    return classes(docs, words, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each class stays, the one with the smallest id; rows that repeat it stay once. Rows without an id stay."""
-    found = join(docs, words, percent)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each class, one with its smallest id. Rows without words are classes of their own, but
+    repeated rows stay once. Rows without an id stay."""
+    own = classes(docs, words, percent).filter("doc_id = component_id").groupBy("doc_id", "label", "text_key").count()
+    best = own.groupBy("doc_id", "label").agg(F.min(F.struct("text_key", "count")).alias("f"))
+    kept = written(best.select("doc_id", F.col("f.text_key").alias("__key"), F.col("f.count").alias("rows")), "kept")
+    once, more = kept.filter("rows = 1").drop("rows"), kept.filter("rows > 1").drop("rows")
+    if kept.count() <= MOST_BROADCAST_IDS:
+        once, more = F.broadcast(once), F.broadcast(more)
+    marked, on = docs.withColumn("__key", F.xxhash64("text")), ["doc_id", "__key"]
+    out = marked.join(once, on, "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        out = out.unionByName(marked.join(more, on, "left_semi").dropDuplicates(on))
+    return out.drop("__key").unionByName(docs.filter("doc_id is null"))

@@ -131,7 +131,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         own = scanner(rules)
-        return pa.array((redacted(t, own.spans(t)) for t in map(pa.Scalar.as_py, texts)), type=pa.string())
+        return pa.array((redacted(t, own.spans(t)) for t in texts.to_pylist()), type=pa.string())
 
     return docs.withColumn("text", clean(F.col("text")))
 
