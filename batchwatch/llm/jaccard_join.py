@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import written
+from batchwatch.llm.common import free_name, written
 from batchwatch.llm.components import connected
 from batchwatch.llm.hashing import mixed, shingles
 
@@ -270,14 +270,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class, one with its smallest id. Rows without words are classes of their own, but
     repeated rows stay once. Rows without an id stay."""
+    key = free_name(docs, "key")
     own = classes(docs, words, percent).filter("doc_id = component_id").groupBy("doc_id", "label", "text_key").count()
     best = own.groupBy("doc_id", "label").agg(F.min(F.struct("text_key", "count")).alias("f"))
-    kept = written(best.select("doc_id", F.col("f.text_key").alias("__key"), F.col("f.count").alias("rows")), "kept")
+    kept = written(best.select("doc_id", F.col("f.text_key").alias(key), F.col("f.count").alias("rows")), "kept")
     once, more = kept.filter("rows = 1").drop("rows"), kept.filter("rows > 1").drop("rows")
     if kept.count() <= MOST_BROADCAST_IDS:
         once, more = F.broadcast(once), F.broadcast(more)
-    marked, on = docs.withColumn("__key", F.xxhash64("text")), ["doc_id", "__key"]
+    marked, on = docs.withColumn(key, F.xxhash64("text")), ["doc_id", key]
     out = marked.join(once, on, "left_semi")
     if kept.filter("rows > 1").limit(1).count():
         out = out.unionByName(marked.join(more, on, "left_semi").dropDuplicates(on))
-    return out.drop("__key").unionByName(docs.filter("doc_id is null"))
+    return out.drop(key).unionByName(docs.filter("doc_id is null"))

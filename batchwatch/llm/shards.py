@@ -22,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchwatch.llm.common import written
+from batchwatch.llm.common import free_name, written
 from batchwatch.sources.storage import fresh_path
 
 BUCKET_BYTES = 64 << 20
-BUCKET, ROW = "__bucket", "__row"
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds a hash of (file, row number in it): the same for any split and any retry. Rows that do not come
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """Adds as ``name`` a hash of (file, row number in it): the same for any split and any retry. Rows that do not come
     straight from Parquet files are written first."""
     if "FileScan parquet" not in docs._jdf.queryExecution().executedPlan().toString() or "_metadata" in docs.columns:
         docs = written(docs, "shard-input")
@@ -38,18 +37,19 @@ def with_row_key(docs: DataFrame) -> DataFrame:
         docs.select("_metadata.row_index").schema  # noqa: B018  only projections and filters of a file keep it
     except Exception:
         docs = written(docs, "shard-input")
-    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW))
+    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
 
 
 def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The written table: all rows with ``shard``, ``slot`` and ``place``, in shuffled order within each file."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot", "place")
-    keyed = with_row_key(docs)
+    row_key, bucket_id = free_name(docs, "row"), free_name(docs, "bucket")
+    keyed = with_row_key(docs, row_key)
     total = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    bucketed = keyed.withColumn(BUCKET, F.pmod(F.xxhash64(ROW, F.lit(seed)), F.lit(buckets)).cast("int"))
-    sizes = dict(bucketed.groupBy(BUCKET).count().collect())
+    bucketed = keyed.withColumn(bucket_id, F.pmod(F.xxhash64(row_key, F.lit(seed)), F.lit(buckets)).cast("int"))
+    sizes = dict(bucketed.groupBy(bucket_id).count().collect())
     offsets = np.zeros(buckets + 1, np.int64)
     np.cumsum([sizes.get(b, 0) for b in range(buckets)], out=offsets[1:])
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("place", T.LongType())])
@@ -57,7 +57,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 0, bucket_bytes
 
     def shuffled(bucket: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches)
-        order = np.lexsort((np.arange(rows.num_rows), rows[ROW].to_numpy()))
+        order = np.lexsort((np.arange(rows.num_rows), rows[row_key].to_numpy()))
         order = order[np.random.default_rng([seed & 0xFFFFFFFF, bucket]).permutation(rows.num_rows)]  # Fisher-Yates
         place = offsets[bucket] + np.arange(rows.num_rows)
         for start in range(0, rows.num_rows, 1000):
@@ -70,7 +70,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 0, bucket_bytes
     def shuffle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
         for batch in batches:
-            ids = batch.column(BUCKET).to_numpy()
+            ids = batch.column(bucket_id).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -84,5 +84,5 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 0, bucket_bytes
             yield from shuffled(current, held)
 
     path = fresh_path(spark, "shards")
-    bucketed.repartition(buckets, BUCKET).sortWithinPartitions(BUCKET).mapInArrow(shuffle_buckets, schema).write.parquet(path)
+    bucketed.repartition(buckets, bucket_id).sortWithinPartitions(bucket_id).mapInArrow(shuffle_buckets, schema).write.parquet(path)
     return spark.read.parquet(path)
