@@ -18,6 +18,8 @@ given and Spark chooses from the measured sizes at run time.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,6 +133,25 @@ def running_totals(
     ).drop("_bucket", *[f"_below_{c}" for c in counts])
 
 
+def with_null_keys(compute):
+    """Rows with a null key are groups, too (nulls are equal), but an equality join would lose them. They go through
+    ``compute`` apart, keyed by the text of their keys."""
+
+    @functools.wraps(compute)
+    def both(rows: DataFrame, keys: Sequence[str], *args, **kwargs) -> DataFrame:
+        nullable = [k for k in keys if rows.schema[k].nullable]
+        if not nullable:
+            return compute(rows, keys, *args, **kwargs)
+        missing = functools.reduce(operator.or_, [F.col(k).isNull() for k in nullable])
+        apart = rows.filter(missing).withColumn("_null_key", F.to_json(F.struct(*keys)))
+        return compute(rows.filter(~missing), keys, *args, **kwargs).unionByName(
+            compute(apart, ["_null_key"], *args, **kwargs).drop("_null_key")
+        )
+
+    return both
+
+
+@with_null_keys
 def row_numbers(
     rows: DataFrame,
     keys: Sequence[str],
@@ -156,6 +177,7 @@ def row_numbers(
     )
 
 
+@with_null_keys
 def previous_value(
     rows: DataFrame,
     keys: Sequence[str],

@@ -103,8 +103,9 @@ def extract_schema(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[st
         cell = without_markers(raw) if is_text else raw
         number = to_number(raw, types[name])
         if is_text:
-            whole = F.count_if(strip(cell).rlike(INTEGER_PATTERN))
+            whole = F.count_if(strip(cell).rlike(INTEGER_PATTERN) & strip(cell).try_cast("bigint").isNotNull())
             flags = F.count_if(strip(cell).isin(*BOOLEAN_SPELLINGS))
+            aggregates.append(F.count_if(strip(cell).rlike(INTEGER_PATTERN) & strip(cell).try_cast("bigint").isNull()).alias(f"_d{i}"))
         else:
             whole = F.count_if(number % 1 == 0)
             flags = F.lit(0)
@@ -119,6 +120,7 @@ def extract_schema(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[st
                 F.when(present == 0, "object")
                 .when((F.col(f"_w{i}") == present) & (present == rows), "int")
                 .when((F.col(f"_b{i}") == present) & (present == rows), "bool")
+                .when(F.col(f"_d{i}") > 0, "object")  # digits that neither a long nor a double can hold
                 .when(F.col(f"_n{i}") == present, "float")
                 .otherwise("object")
             )

@@ -8,10 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwatch.config import DEFAULTS
 from batchwatch.functions import ordering
@@ -192,7 +193,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_size: float = DEF
 
 
 def feature_stages(numeric: Sequence[str], text: Sequence[str]) -> list:
-    """Median-imputed, standardised numbers and one-hot text (unknown categories get their own slot)."""
+    """Median-imputed, standardised numbers and one-hot text (unknown categories are ignored: all their slots are zero)."""
     stages = []
     parts = []
     if numeric:
@@ -205,7 +206,7 @@ def feature_stages(numeric: Sequence[str], text: Sequence[str]) -> list:
     for c in text:
         stages += [
             StringIndexer(inputCol=c, outputCol=f"{c}__index", handleInvalid="keep", stringOrderType="frequencyDesc"),
-            OneHotEncoder(inputCol=f"{c}__index", outputCol=f"{c}__hot", dropLast=False),
+            OneHotEncoder(inputCol=f"{c}__index", outputCol=f"{c}__hot", dropLast=True),
         ]
         parts.append(f"{c}__hot")
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
@@ -234,10 +235,18 @@ def fit_clusters(df: DataFrame, features: str = "features", k: int = 5) -> tuple
 def fit_supervised(
     train: DataFrame, numeric: Sequence[str], text: Sequence[str], label: str, task: str = "classification", trees: int = 20
 ) -> PipelineModel:
-    """Random forest on prepared features; text classes are indexed, the prediction is the class index."""
+    """Random forest on prepared features. Classes given as text are indexed, and :func:`score_batch` adds their names
+    as ``predicted_label``; :func:`target_checks` bounds their number."""
     kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    forest = kind(labelCol=label, featuresCol="features", numTrees=trees, seed=SEED)
-    return Pipeline(stages=[*feature_stages(numeric, text), forest]).fit(prepared(train, numeric, text))
+    ready, named = prepared(train, numeric, text), isinstance(train.schema[label].dataType, T.StringType)
+    target, before, after = label, [], []
+    if named and task == "classification":
+        index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(ready)
+        target, before = "__label", [index]
+        after = [IndexToString(inputCol="prediction", outputCol="predicted_label", labels=index.labels)]
+    forest = kind(labelCol=target, featuresCol="features", numTrees=trees, seed=SEED)
+    stages = Pipeline(stages=[*feature_stages(numeric, text), *before, forest, *after]).fit(ready).stages
+    return PipelineModel([s for s in stages if s not in before])  # rows to score carry no label
 
 
 def score_batch(model: PipelineModel, df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:

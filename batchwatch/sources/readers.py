@@ -25,20 +25,48 @@ def file_kind(path: str) -> str:
     return kind
 
 
-def load_batch(spark: SparkSession, path: str, kind: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+def csv_reader(spark: SparkSession, path: str, columns: Sequence[str] | None, multi_line: bool) -> tuple[object, list[str]]:
+    """Reader for quoted cells (doubled quotes, line breaks), its schema being the header and a column for records
+    that do not fit. A file whose header differs from ``columns`` (or from the first file's) fails instead of being
+    read by position."""
+    plain = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+    names = list(columns or plain.csv(path).columns)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, CORRUPT_COLUMN)])
+    reader = plain.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COLUMN).option("enforceSchema", False)
+    return reader.schema(schema), names
+
+
+def load_batch(
+    spark: SparkSession, path: str, kind: str | None = None, columns: Sequence[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """Read a batch. CSV cells arrive as text (types are a separate, whole-data decision); NaN becomes null.
 
     ``columns`` is the file's header where it is known, which saves Spark from opening the files to learn it.
+    ``multi_line=False`` lets Spark split large CSV files that have no line breaks inside cells. Records with more
+    or fewer cells than the header keep the cells that fit; :func:`unfitting_records` returns them as they stand.
+    JSON may be lines of records or one array of records for each file.
     """
     kind = kind or file_kind(path)
     if kind == ".csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        if columns:
-            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        return reader.csv(path)
+        reader, names = csv_reader(spark, path, columns, multi_line)
+        return reader.csv(path).select(*names)
     if kind == ".parquet":
         return nan_to_null(spark.read.parquet(path))
-    return nan_to_null(spark.read.json(path, multiLine=False))
+    return nan_to_null(spark.read.json(path, multiLine=is_json_array(spark, path)))
+
+
+def unfitting_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """The whole text of CSV records that have more or fewer cells than the header, in ``CORRUPT_COLUMN``."""
+    reader, names = csv_reader(spark, path, columns, multi_line)
+    # all columns take part, as a reader of the corrupt column alone would parse nothing
+    seen = reader.csv(path).withColumn("_cells", F.struct(*names))
+    return seen.filter(F.col(CORRUPT_COLUMN).isNotNull() & F.col("_cells").isNotNull()).select(CORRUPT_COLUMN, *names)
+
+
+def is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first file begins with an array; only its first lines are read."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.ltrim("value").alias("value")).first()
+    return first is not None and first["value"].startswith("[")
 
 
 def load_json_array(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Where intermediate tables live: the shared folder that the cluster names, else a fresh temporary one."""
+"""Where intermediate tables live: the shared folder that the cluster names. Only a local master may do without one."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,15 +11,18 @@ from pyspark.sql import SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where it is unset (local tests) a temporary folder is made
-    and remembered for the session."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local master gets a temporary folder, remembered for
+    the session and removed when the driver ends; on a cluster executors could not see one another's files, so that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     remembered = "spark.batchwatch.workdir"
     made = spark.conf.get(remembered, None)
     if not made:
         made = tempfile.mkdtemp(prefix="batchwatch-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
         spark.conf.set(remembered, made)
     return made
 

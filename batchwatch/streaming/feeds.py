@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from batchwatch.config import DEFAULTS
 
-# How late an event may be, window of the rate metrics, event kinds that carry no news.
-LATENESS = "10 minutes"
+# Window of the rate metrics, event kinds that carry no news.
 RATE_WINDOW = "1 minute"
 PINGS = ("ping", "connected")
 
@@ -88,20 +87,24 @@ def close_steps(steps: DataFrame, run_events: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("event")
 
 
-def timed(events: DataFrame, time: str) -> DataFrame:
-    """Streams get a watermark, which needs a zoned event time; batches stay as they are."""
+def timed(events: DataFrame, time: str, lateness: str | None = None) -> DataFrame:
+    """A stream with ``lateness`` (such as "10 minutes") gets a watermark: state is bounded, and events later than that
+    are dropped. Without it nothing is ever late, which replays need, and state grows with the keys. Streams get a
+    zoned event time; batches stay as they are."""
     if not events.isStreaming:
         return events
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, LATENESS)
+    zoned = events.withColumn(time, F.col(time).cast("timestamp"))
+    return zoned.withWatermark(time, lateness) if lateness else zoned
 
 
 def without_pings(events: DataFrame, event: str = "event") -> DataFrame:
     return events.filter(~F.col(event).isin(*PINGS))
 
 
-def dedupe_live(events: DataFrame, keys: Sequence[str], time: str = "ts") -> DataFrame:
-    """Stream form: a repeated event is dropped while its first copy is within the lateness bound."""
-    return timed(without_pings(events), time).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_live(events: DataFrame, keys: Sequence[str], time: str = "ts", lateness: str | None = None) -> DataFrame:
+    """Stream form: a repeated event is dropped; with ``lateness`` only while its first copy is within that bound."""
+    live = timed(without_pings(events), time, lateness)
+    return live.dropDuplicatesWithinWatermark(list(keys)) if lateness else live.dropDuplicates(list(keys))
 
 
 def dedupe_batch(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -116,9 +119,9 @@ def heartbeat_age(events: DataFrame, source: str, clock: Column, time: str = "ts
     return last.withColumn("age_seconds", age).withColumn("healthy", age <= DEFAULTS.heartbeat_seconds)
 
 
-def event_rate(events: DataFrame, handler: str, is_error: Column, time: str = "ts") -> DataFrame:
-    """Events per second and error share per handler and minute; works on a stream (with watermark) and a batch."""
-    events = timed(events, time)
+def event_rate(events: DataFrame, handler: str, is_error: Column, time: str = "ts", lateness: str | None = None) -> DataFrame:
+    """Events per second and error share per handler and minute; works on a stream (update mode) and a batch."""
+    events = timed(events, time, lateness)
     counted = events.groupBy(F.window(time, RATE_WINDOW).alias("w"), handler).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(is_error).alias("errors")
     )
@@ -128,9 +131,9 @@ def event_rate(events: DataFrame, handler: str, is_error: Column, time: str = "t
     )
 
 
-def latency_sketch(events: DataFrame, value: str, time: str = "ts") -> DataFrame:
+def latency_sketch(events: DataFrame, value: str, time: str = "ts", lateness: str | None = None) -> DataFrame:
     """Stream form of the latency quantiles: one bounded sketch per minute."""
     grid = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    return timed(events, time).groupBy(F.window(time, RATE_WINDOW).alias("w")).agg(
+    return timed(events, time, lateness).groupBy(F.window(time, RATE_WINDOW).alias("w")).agg(
         F.count(value).alias("n"), F.percentile_approx(value, grid, F.lit(10000)).alias("q")
     ).select(F.col("w.start").cast("timestamp_ntz").alias("minute"), "n", "q")

@@ -38,3 +38,11 @@ def test_a_group_is_spread_over_buckets(rows):
     bucketed = ordering.with_bucket(rows, ["k"], "v", 32)
     sizes = bucketed.filter("k = 'hot'").groupBy("_bucket").count()
     assert sizes.count() > 16 and sizes.agg(F.max("count")).first()[0] < 1334 / 3
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("x", 3, "c"), ("x", 1, "d")], "k string, v long, s string")
+    got = sorted(tuple(r) for r in ordering.row_numbers(rows, ["k"], ["v"], "n", value="v").select("s", "n").collect())
+    assert got == [("a", 1), ("b", 2), ("c", 2), ("d", 1)]
+    got = sorted((r["s"], r["p"]) for r in ordering.previous_value(rows, ["k"], "v", "s", "p").collect())
+    assert got == [("a", None), ("b", "a"), ("c", "d"), ("d", None)]
