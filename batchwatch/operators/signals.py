@@ -89,7 +89,12 @@ SIGNAL_COLUMNS = {
     "run_id": "bigint", "source": "string", "type": "string", "column_name": "string", "severity": "string",
     "drift_score": "double", "psi_score": "double", "ks_score": "double", "observed_min": "double",
     "observed_max": "double", "baseline_min": "double", "baseline_max": "double", "ratio": "double",
-    "threshold": "double", "unseen": "string", "info": "string",
+    "threshold": "double", "unseen": "string", "info": "string", "columns": "array<string>", "unseen_values": "array<string>",
+}
+# What stored findings keep as JSON in ``details``.
+DETAILS = {
+    "observed_min": "double", "observed_max": "double", "baseline_min": "double", "baseline_max": "double", "ratio": "double",
+    "threshold": "double", "unseen_values": "array<string>", "unseen_sample": "array<string>",
 }
 
 
@@ -103,32 +108,76 @@ def _signal(df: DataFrame, **given: Column) -> DataFrame:
     )
 
 
+def unpack_details(findings: DataFrame) -> DataFrame:
+    """Findings as stored (numbers and lists inside the JSON text ``details``) with these as columns; given ones stay."""
+    if "details" not in findings.columns:
+        return findings
+    stored = F.from_json("details", ", ".join(f"{n} {t}" for n, t in DETAILS.items()))
+    opened = findings.withColumn("_details", stored)
+    value = {n: F.col("_details")[n].cast(t) for n, t in DETAILS.items()}
+    value["unseen_values"] = F.coalesce(value["unseen_values"], value.pop("unseen_sample"))
+    return opened.withColumns(
+        {n: F.coalesce(F.col(n).cast(DETAILS[n]), v) if n in findings.columns else v for n, v in value.items()}
+    ).drop("_details")
+
+
 def build_signals(quality: DataFrame, drift: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """Everything that went wrong in a run: failed checks, detected drift, added and missing columns."""
+    """Everything that went wrong in a run: failed checks, detected drift, and one signal each for all added and all
+    missing columns. ``quality`` may be findings as stored."""
+    quality = unpack_details(quality)
+    own = F.when(F.col("column_name").isNotNull(), F.array("column_name"))
+    unseen = F.when(F.col("unseen").isNotNull(), F.array("unseen")) if "unseen" in quality.columns else F.lit(None).cast("array<string>")
+    listed = F.coalesce(F.col("unseen_values"), unseen) if "unseen_values" in quality.columns else unseen
     failed = _signal(
         quality.filter(~F.col("success")), source=F.lit("data_quality"), type=F.col("check_type"),
-        severity=by_key(F.col("check_type"), SIGNAL_SEVERITY, "low"),
+        severity=by_key(F.col("check_type"), SIGNAL_SEVERITY, "low"), columns=own, unseen_values=listed,
     )
     drifted = _signal(
         drift.filter("drift_detected"), source=F.lit("drift"),
         type=F.when(F.col("feature_name") == "prediction_output", "concept_drift").otherwise("data_drift"),
-        column_name=F.col("feature_name"), severity=F.coalesce("severity", F.lit("medium")),
+        column_name=F.col("feature_name"), severity=F.coalesce("severity", F.lit("medium")), columns=F.array("feature_name"),
     )
     out = failed.unionByName(drifted)
     if changes is not None:
         added = F.col("change_type") == "new_column"
+        kinds = changes.groupBy("run_id", added.alias("_added")).agg(F.array_sort(F.collect_set("column_name")).alias("columns"))
         out = out.unionByName(
             _signal(
-                changes, source=F.lit("schema"),
-                type=F.when(added, "extra_columns").otherwise("missing_columns"),
-                severity=F.when(added, "medium").otherwise("high"),
+                kinds, source=F.lit("schema"),
+                type=F.when(F.col("_added"), "extra_columns").otherwise("missing_columns"),
+                severity=F.when(F.col("_added"), "medium").otherwise("high"),
             )
         )
     return out
 
 
-def describe(signals: DataFrame) -> DataFrame:
-    """Title and explanation of each signal."""
+# Likely cause and recommended action of a signal, by type; "schema" ones are those of added and missing columns.
+SIGNAL_CAUSES = {
+    "extra_columns": "A producer added fields, or the wrong file version was uploaded.",
+    "missing_columns": "A producer removed or renamed fields, or the wrong export was uploaded.",
+    "range": "Outliers, unit changes, mixed populations, or stale baseline limits.",
+    "categorical": "New business values appeared, or upstream normalization changed.",
+    "null_ratio": "Incomplete extraction, broken join, or source field not populated.",
+    "schema_type_mismatch": "Invalid tokens, formatting change, or a source contract change.",
+    "concept_drift": "Model behavior shifted because input mix changed or the model/data path changed.",
+    "data_drift": "Population mix, seasonality, upstream source changes, or stale baseline data.",
+}
+SIGNAL_ACTIONS = {
+    "extra_columns": "Approve the schema change only if these columns are expected; otherwise ask the upstream producer to restore the contract.",
+    "missing_columns": "Block prediction until the missing columns are restored or a new model/baseline is approved.",
+    "range": "Inspect rows above/below the baseline limits and decide whether to fix data or refresh the baseline.",
+    "categorical": "Validate the new category values, then update mappings or baseline if they are expected.",
+    "null_ratio": "Check upstream completeness before trusting imputed values.",
+    "schema_type_mismatch": "Inspect raw values that could not be coerced and fix them upstream.",
+    "concept_drift": "Compare predictions with labels and review model performance before retraining.",
+    "data_drift": "Compare current batch sampling window/source with baseline and refresh baseline only if this shift is expected.",
+}
+SIGNAL_CAUSE = "The incoming batch differs from the active baseline."
+SIGNAL_ACTION = "Inspect the affected rows and compare against the source contract."
+
+
+def describe(signals: DataFrame, digits: int | None = None) -> DataFrame:
+    """Title, explanation, likely cause and recommended action of each signal. ``digits`` fixes the decimals of drift scores."""
     kind = F.col("type")
     column = F.coalesce("column_name", F.when(F.col("source") == "drift", "prediction output").otherwise("dataset"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
@@ -145,7 +194,9 @@ def describe(signals: DataFrame) -> DataFrame:
         .when(kind == "schema_type_mismatch", F.concat(column, F.lit(" has an incompatible type")))
         .otherwise(F.concat(column, F.lit(" failed "), kind))
     )
-    metrics = F.concat(F.lit("PSI="), text("psi_score"), F.lit(", KS="), text("ks_score"), F.lit("."))
+    shown = lambda c: text(c) if digits is None else F.when(F.col(c).isNull(), "None").otherwise(F.format_string(f"%.{digits}f", c))
+    metrics = F.concat(F.lit("PSI="), shown("psi_score"), F.lit(", KS="), shown("ks_score"), F.lit("."))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("unseen_values", lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]"))
     explanation = (
         F.when(F.col("source") == "schema", by_key(kind, {
             "extra_columns": "The file contains columns that are not part of the active baseline schema.",
@@ -155,14 +206,19 @@ def describe(signals: DataFrame) -> DataFrame:
         .when(kind == "range", F.concat(
             F.lit("Observed range "), text("observed_min"), F.lit("-"), text("observed_max"),
             F.lit(" versus baseline "), text("baseline_min"), F.lit("-"), text("baseline_max"), F.lit(".")))
-        .when(kind == "categorical", F.concat(F.lit("Unseen values: "), text("unseen"), F.lit(".")))
+        .when(kind == "categorical", F.concat(F.lit("Unseen values: "), F.coalesce("unseen", listed, F.lit("None")), F.lit(".")))
         .when(kind == "null_ratio", F.concat(
             F.lit("Missing ratio "), text("ratio"), F.lit(" exceeded threshold "), text("threshold"), F.lit(".")))
         .when(kind == "schema_type_mismatch",
               F.coalesce("info", F.lit("The incoming type differs from the baseline.")))
         .otherwise(F.coalesce("info", F.lit("A data quality check failed.")))
     )
-    return signals.withColumns({"title": title, "explanation": explanation})
+    bad_check = (F.col("source") != "data_quality") | ~kind.isin("extra_columns", "missing_columns")
+    return signals.withColumns({
+        "title": title, "explanation": explanation,
+        "likely_cause": F.when(bad_check, by_key(kind, SIGNAL_CAUSES, SIGNAL_CAUSE)).otherwise(SIGNAL_CAUSE),
+        "recommended_action": F.when(bad_check, by_key(kind, SIGNAL_ACTIONS, SIGNAL_ACTION)).otherwise(SIGNAL_ACTION),
+    })
 
 
 def issue_key(kind: Column) -> Column:
@@ -176,10 +232,10 @@ def issue_findings(signals: DataFrame) -> DataFrame:
     """
     grouped = signals.groupBy("run_id", issue_key(F.col("type")).alias("issue")).agg(
         F.max(severity.rank(F.col("severity"))).alias("severity_rank"),
-        F.array_sort(F.collect_set("column_name")).alias("affected_columns"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("affected_columns"),
         F.count(F.lit(1)).alias("evidence_count"),
         F.max(F.coalesce("drift_score", F.lit(0.0))).alias("_top_score"),
-        F.array_sort(F.collect_set("unseen")).alias("_unseen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("unseen_values")))).alias("_unseen"),
     )
     key = F.col("issue")
     names = F.array_join("affected_columns", ", ")

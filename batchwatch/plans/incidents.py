@@ -14,11 +14,12 @@ from batchwatch.plans.views import view, with_views
 _SIGNALS = """sig AS (
     SELECT run_id, 'data_quality' AS source, check_type AS type, column_name, CASE WHEN check_type IN ('missing_columns', 'schema_type_mismatch') THEN 'high'
       WHEN check_type IN ('extra_columns', 'range', 'categorical') THEN 'medium' ELSE 'low' END AS severity, CAST(NULL AS DOUBLE) AS drift_score,
-      observed_min, observed_max, ratio, unseen, CAST(NULL AS DOUBLE) AS psi_score, CAST(NULL AS DOUBLE) AS ks_score FROM dq_findings WHERE NOT success
+      observed_min, observed_max, ratio, unseen, CAST(NULL AS DOUBLE) AS psi_score, CAST(NULL AS DOUBLE) AS ks_score, CASE WHEN column_name IS NOT NULL THEN [column_name] END AS columns FROM dq_findings WHERE NOT success
     UNION ALL SELECT run_id, 'drift', CASE WHEN feature_name = 'prediction_output' THEN 'concept_drift' ELSE 'data_drift' END, feature_name, severity, drift_score,
-      NULL, NULL, NULL, NULL, psi_score, ks_score FROM drift_findings WHERE drift_detected
-    UNION ALL SELECT run_id, 'schema', CASE WHEN change_type = 'new_column' THEN 'extra_columns' ELSE 'missing_columns' END, column_name,
-      CASE WHEN change_type = 'new_column' THEN 'medium' ELSE 'high' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM schema_events WHERE status = 'pending')"""
+      NULL, NULL, NULL, NULL, psi_score, ks_score, [feature_name] FROM drift_findings WHERE drift_detected
+    UNION ALL SELECT run_id, 'schema', CASE WHEN change_type = 'new_column' THEN 'extra_columns' ELSE 'missing_columns' END, NULL,
+      CASE WHEN change_type = 'new_column' THEN 'medium' ELSE 'high' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, list_sort(list(DISTINCT column_name)) FROM schema_events WHERE status = 'pending'
+      GROUP BY run_id, change_type)"""
 
 
 def _quality(spark, sf_dir):
@@ -32,10 +33,11 @@ def _signals(spark, sf_dir):
     return signals.build_signals(_quality(spark, sf_dir), view(spark, sf_dir, "drift_findings"), changes)
 
 
-@query("signals", with_views(f"WITH {_SIGNALS} SELECT run_id, source, type, column_name, severity, round(drift_score, 6) AS drift_score FROM sig"))
+@query("signals", with_views(f"WITH {_SIGNALS} SELECT run_id, source, type, column_name, severity, round(drift_score, 6) AS drift_score, coalesce(array_to_string(columns, ', '), '') AS columns FROM sig"))
 def all_signals(spark, sf_dir):
     found = _signals(spark, sf_dir)
-    return found.select("run_id", "source", "type", "column_name", "severity", F.round("drift_score", 6).alias("drift_score"))
+    return found.select("run_id", "source", "type", "column_name", "severity", F.round("drift_score", 6).alias("drift_score"),
+                        F.coalesce(F.array_join("columns", ", "), F.lit("")).alias("columns"))
 
 
 @query("signal_descriptions", with_views(f"""WITH {_SIGNALS}, named AS (SELECT *, coalesce(column_name, CASE WHEN source = 'drift' THEN 'prediction output' ELSE 'dataset' END) AS c FROM sig)
@@ -46,18 +48,38 @@ def all_signals(spark, sf_dir):
     WHEN type = 'schema_type_mismatch' THEN concat(c, ' has an incompatible type') ELSE concat(c, ' failed ', type) END AS title,
   CASE WHEN source = 'schema' AND type = 'extra_columns' THEN 'The file contains columns that are not part of the active baseline schema.'
     WHEN source = 'schema' THEN 'The model or downstream pipeline may not receive features it expects.'
+    WHEN type = 'concept_drift' THEN concat('Concept drift signal on ', c, '; PSI=', coalesce(printf('%.4f', psi_score), 'None'), ', KS=', coalesce(printf('%.4f', ks_score), 'None'), '.')
+    WHEN type = 'data_drift' THEN concat('Current distribution differs from baseline; PSI=', coalesce(printf('%.4f', psi_score), 'None'), ', KS=', coalesce(printf('%.4f', ks_score), 'None'), '.')
     WHEN type = 'range' THEN concat('Observed range ', observed_min, '-', observed_max, ' versus baseline 5.0-45.0.')
     WHEN type = 'categorical' THEN concat('Unseen values: ', unseen, '.') WHEN type = 'null_ratio' THEN concat('Missing ratio ', ratio, ' exceeded threshold 0.3.')
-    WHEN type = 'schema_type_mismatch' THEN 'The incoming type differs from the baseline.' ELSE 'A data quality check failed.' END AS explanation FROM named WHERE source <> 'drift'"""))
+    WHEN type = 'schema_type_mismatch' THEN 'The incoming type differs from the baseline.' ELSE 'A data quality check failed.' END AS explanation,
+  CASE WHEN source = 'schema' AND type = 'extra_columns' THEN 'A producer added fields, or the wrong file version was uploaded.'
+    WHEN source = 'schema' THEN 'A producer removed or renamed fields, or the wrong export was uploaded.'
+    WHEN type = 'range' THEN 'Outliers, unit changes, mixed populations, or stale baseline limits.'
+    WHEN type = 'categorical' THEN 'New business values appeared, or upstream normalization changed.'
+    WHEN type = 'null_ratio' THEN 'Incomplete extraction, broken join, or source field not populated.'
+    WHEN type = 'schema_type_mismatch' THEN 'Invalid tokens, formatting change, or a source contract change.'
+    WHEN type = 'concept_drift' THEN 'Model behavior shifted because input mix changed or the model/data path changed.'
+    WHEN type = 'data_drift' THEN 'Population mix, seasonality, upstream source changes, or stale baseline data.'
+    ELSE 'The incoming batch differs from the active baseline.' END AS likely_cause,
+  CASE WHEN source = 'schema' AND type = 'extra_columns' THEN 'Approve the schema change only if these columns are expected; otherwise ask the upstream producer to restore the contract.'
+    WHEN source = 'schema' THEN 'Block prediction until the missing columns are restored or a new model/baseline is approved.'
+    WHEN type = 'range' THEN 'Inspect rows above/below the baseline limits and decide whether to fix data or refresh the baseline.'
+    WHEN type = 'categorical' THEN 'Validate the new category values, then update mappings or baseline if they are expected.'
+    WHEN type = 'null_ratio' THEN 'Check upstream completeness before trusting imputed values.'
+    WHEN type = 'schema_type_mismatch' THEN 'Inspect raw values that could not be coerced and fix them upstream.'
+    WHEN type = 'concept_drift' THEN 'Compare predictions with labels and review model performance before retraining.'
+    WHEN type = 'data_drift' THEN 'Compare current batch sampling window/source with baseline and refresh baseline only if this shift is expected.'
+    ELSE 'Inspect the affected rows and compare against the source contract.' END AS recommended_action FROM named"""))
 def signal_descriptions(spark, sf_dir):
-    """Drift texts quote unrounded floats, which engines print differently; they are covered by a unit test."""
-    found = signals.describe(_signals(spark, sf_dir)).filter("source <> 'drift'")
-    return found.select("run_id", "type", "column_name", "title", "explanation")
+    """Drift scores are shown with four digits here, as engines print unrounded floats differently."""
+    found = signals.describe(_signals(spark, sf_dir), digits=4)
+    return found.select("run_id", "type", "column_name", "title", "explanation", "likely_cause", "recommended_action")
 
 
 _ISSUE = """CASE type WHEN 'null_ratio' THEN 'null_spike' WHEN 'range' THEN 'range_violation' WHEN 'categorical' THEN 'categorical_shift' ELSE type END"""
-_ISSUES = f"""iss AS (SELECT run_id, {_ISSUE} AS issue, max({rank('severity')}) AS severity_rank, array_to_string(list_sort(list(DISTINCT column_name) FILTER (column_name IS NOT NULL)), ', ') AS cols,
-    array_to_string(list_sort(list(DISTINCT column_name) FILTER (column_name IS NOT NULL))[:3], ', ') AS cols3,
+_ISSUES = f"""iss AS (SELECT run_id, {_ISSUE} AS issue, max({rank('severity')}) AS severity_rank, array_to_string(list_sort(list_distinct(flatten(list(columns) FILTER (columns IS NOT NULL)))), ', ') AS cols,
+    array_to_string(list_sort(list_distinct(flatten(list(columns) FILTER (columns IS NOT NULL))))[:3], ', ') AS cols3,
     count(*) AS n, max(coalesce(drift_score, 0.0)) AS top, list_sort(list(DISTINCT unseen) FILTER (unseen IS NOT NULL))[:8] AS unseen8 FROM sig GROUP BY run_id, issue),
   issues AS (SELECT *, coalesce(nullif(cols, ''), 'the dataset') AS c, {level('severity_rank')} AS severity FROM iss),
   issue_texts AS (SELECT run_id, issue, severity_rank, severity, n AS evidence_count, coalesce(cols, '') AS affected_columns,
