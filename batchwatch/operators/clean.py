@@ -286,4 +286,5 @@ def scoring_features(df: DataFrame, expected: Sequence[str] | None = None, keep:
         numeric = [f.name for f in df.schema.fields
                    if isinstance(f.dataType, T.NumericType) and f.name not in keep]
         chosen = numeric[:3]
-    return df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in chosen])
+    number = lambda c: to_number(F.col(c), df.schema[c].dataType)
+    return df.select(*keep, *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in chosen])

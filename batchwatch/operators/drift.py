@@ -217,8 +217,9 @@ def concept_drift(
     reference: DataFrame, predictions: DataFrame, target: str, prediction: str = "value", keys: Sequence[str] = ()
 ) -> DataFrame:
     """PSI and KS of the predicted values against the reference target, stored as one pseudo feature."""
-    ref = reference.select(*keys, F.col(target).cast("double").alias(PREDICTION_FEATURE))
-    cur = predictions.select(*keys, F.col(prediction).cast("double").alias(PREDICTION_FEATURE))
+    number = lambda df, name: to_number(F.col(name), df.schema[name].dataType).alias(PREDICTION_FEATURE)
+    ref = reference.select(*keys, number(reference, target))
+    cur = predictions.select(*keys, number(predictions, prediction))
     hist = side_histogram(ref, cur, [PREDICTION_FEATURE], keys)
     return data_drift(hist, keys).withColumn("type", F.lit("concept_drift"))
 

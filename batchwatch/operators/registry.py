@@ -28,10 +28,6 @@ def active_baseline(baselines: DataFrame) -> DataFrame:
     return latest(baselines.filter(F.col("status") == "approved"), ["model_id"], ["is_active", "version"])
 
 
-def models_without_baseline(models: DataFrame, baselines: DataFrame) -> DataFrame:
-    return models.join(active_baseline(baselines).select("model_id"), "model_id", "left_anti")
-
-
 def version_baselines(uploads: DataFrame, existing: DataFrame, buckets: int | None = None) -> DataFrame:
     """Version, status and active flag of new uploads (id, model_id, approved), in id order per model.
 

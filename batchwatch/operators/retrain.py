@@ -214,7 +214,7 @@ def feature_stages(numeric: Sequence[str], text: Sequence[str]) -> list:
 
 def prepared(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
     return df.withColumns(
-        {**{c: F.col(c).cast("double") for c in numeric}, **{c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in text}}
+        {**{c: to_number(F.col(c), df.schema[c].dataType) for c in numeric}, **{c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in text}}
     )
 
 

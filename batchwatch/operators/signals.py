@@ -65,7 +65,7 @@ ISSUE_ACTIONS = {
 DEFAULT_ACTION = "Review the flagged rows and compare them with the active baseline contract."
 # Likely causes per issue.
 ISSUE_CAUSES = {
-    "schema_type_mismatch": "The source system changed formatting, introduced invalid tokens, or exported blanks in a way that changed pandas type inference.",
+    "schema_type_mismatch": "The source system changed formatting, introduced invalid tokens, or exported blanks in a way that changed type inference.",
     "extra_columns": "The upstream dataset contract evolved, or a newer/wrong file version was uploaded.",
     "missing_columns": "The upstream export removed or renamed expected fields.",
     "null_spike": "A source extraction problem, mapping issue, or incomplete upstream data load introduced missing values.",

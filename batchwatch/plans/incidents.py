@@ -128,8 +128,19 @@ def _has(*words: str) -> str:
     return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
+# Fixed values, written out here so that the operator's own table is checked.
+_TEXT_WORDS = {
+    "DATA_DRIFT": ("data_drift", "data drift", "psi", "population stability", "feature drift"),
+    "CONCEPT_DRIFT": ("concept_drift", "concept drift", "prediction_output", "prediction output", "model output"),
+    "SCHEMA_MISMATCH": ("schema_type_mismatch", "type mismatch", "expected", "got"),
+    "MISSING_COLUMNS": ("missing_columns", "missing columns", "missing column"),
+    "EXTRA_COLUMNS": ("extra_columns", "extra columns", "new columns"),
+    "NULL_SPIKE": ("null_ratio", "null spike", "missing data"),
+    "RANGE_VIOLATION": ("range", "outside", "out of range"),
+    "CATEGORICAL_SHIFT": ("categorical", "unseen"),
+}
 _TEXT_TYPES = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN {_has(*words)} THEN '{name}' END" for name, words in signals.TEXT_RULES.items()
+    f"CASE WHEN {_has(*words)} THEN '{name}' END" for name, words in _TEXT_WORDS.items()
 ) + ")"
 _TEXT_FALLBACK = """CASE WHEN contains(regexp_replace(lower(text), '"\\w+":', '', 'g'), 'fail') OR contains(regexp_replace(lower(text), '"\\w+":', '', 'g'), 'quality') THEN 'DATA_QUALITY' ELSE '' END"""
 _TEXT_SEVERITY = "CASE " + " ".join(f"WHEN {_has(s)} THEN '{s}'" for s in ("critical", "high", "medium", "low")) + " ELSE 'medium' END"

@@ -35,9 +35,12 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def dq_finding_rows(
-    checks: DataFrame, types: DataFrame, diffs: DataFrame | None = None, keys: Sequence[str] = ()
+    checks: DataFrame, types: DataFrame, diffs: DataFrame | None = None, keys: Sequence[str] = (), unseen: DataFrame | None = None
 ) -> DataFrame:
-    """Findings to store: every check, every type mismatch, and one row each for extra and missing columns."""
+    """Findings to store: every check, every type mismatch, and one row each for extra and missing columns.
+
+    A category check holds counts and the first values only; with ``unseen`` (from ``unseen_values``) every unseen value
+    is stored, too, as a row of kind ``unseen_value`` that neither passes nor fails."""
     rows = checks.select(*keys, "column_name", "check_type", "success", "info", "details")
     mismatch = types.filter(~F.col("compatible")).select(
         *keys, "column_name", F.lit("schema_type_mismatch").alias("check_type"), F.lit(False).alias("success"),
@@ -46,6 +49,11 @@ def dq_finding_rows(
         F.to_json(F.struct("expected_type", "actual_type")).alias("details"),
     )
     out = rows.unionByName(mismatch)
+    if unseen is not None:
+        out = out.unionByName(unseen.select(
+            *keys, "column_name", F.lit("unseen_value").alias("check_type"), F.lit(None).cast("boolean").alias("success"),
+            F.col("upper_value").alias("info"), F.to_json(F.struct(F.col("upper_value").alias("value"), "row_count")).alias("details"),
+        ))
     if diffs is not None:
         for name, source in (("extra_columns", "extra_columns"), ("missing_columns", "missing_columns")):
             out = out.unionByName(

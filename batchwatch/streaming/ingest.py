@@ -15,6 +15,7 @@ from batchwatch.streaming import feeds
 
 # Outcome of a file in the ledger.
 PROCESSED, FAILED = "processed", "failed"
+LEDGER = "run_id string, rows_in bigint, rows_out bigint, rows_removed bigint, status string"
 
 
 def incoming(spark: SparkSession, folder: str, columns: Sequence[str], pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
@@ -46,8 +47,11 @@ def ingest(stream: DataFrame, rules: Sequence[ColumnRule], work: str, keep: Sequ
         )
         feeds.batch_writer(f"{work}/ledger")(audit, epoch)
 
+    # an entry without rows, so that the ledger can be read before anything has arrived
+    start = stream.sparkSession.createDataFrame([], LEDGER)
+    feeds.batch_writer(f"{work}/ledger")(start, -1)
     feeds.run_available(stream, work, handle)
-    ledger = stream.sparkSession.read.parquet(f"{work}/ledger")
+    ledger = stream.sparkSession.read.schema(LEDGER).parquet(f"{work}/ledger")
     return ledger.groupBy("run_id").agg(
         F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"),
         F.sum("rows_removed").alias("rows_removed"),

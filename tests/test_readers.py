@@ -2,8 +2,9 @@
 
 import pytest
 
-from batchwatch.operators import retrain
-from batchwatch.sources import readers, storage
+from batchwatch.operators import clean, profile, retrain, signals, validate
+from batchwatch.sources import readers, sinks, storage
+from batchwatch.streaming import ingest
 
 
 def write(tmp_path, name, text):
@@ -65,3 +66,33 @@ def test_text_labels_and_numbers_can_be_learned(spark):
     assert all(r["predicted_label"] == ("yes" if r["id"] % 2 else "no") for r in scored if r["id"] < 60) and len(scored) == 61
     fitted = retrain.score_batch(retrain.fit_supervised(df, ["id"], [], "y", "regression"), df, ["id"], [])
     assert retrain.regression_metrics(fitted, "y", "prediction").first()["r2"] > 0.9
+
+
+@pytest.fixture(scope="module")
+def contract(spark):
+    trusted = spark.createDataFrame([(float(i), "AB"[i % 2]) for i in range(60)], "x double, c string")
+    return profile.load_rules(profile.create_baseline(trusted), trusted.columns)
+
+
+def test_stored_findings_feed_the_signals(spark, contract, tmp_path):
+    batch = spark.createDataFrame([(900.0, f"V{i:02d}") for i in range(30)], "x double, c string")
+    checks, types = validate.all_checks(batch, contract), validate.check_schema_types(batch, contract)
+    sinks.append(sinks.dq_finding_rows(checks, types, unseen=validate.unseen_values(batch, contract)), str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    assert stored.filter("check_type = 'unseen_value'").count() == 30
+    drift = spark.createDataFrame([], "run_id long, feature_name string, drift_detected boolean, severity string, drift_score double, psi_score double, ks_score double")
+    changes = spark.createDataFrame([(1, "new_column", "a"), (1, "new_column", "b"), (1, "removed_column", "d")], "run_id long, change_type string, column_name string")
+    found = signals.describe(signals.build_signals(stored.selectExpr("1L AS run_id", "*"), drift, changes))
+    said = {(r["type"], r["column_name"]): r for r in found.collect()}
+    assert said["range", "x"]["explanation"].startswith("Observed range 900.0-900.0 versus baseline ")
+    assert said["categorical", "c"]["explanation"].startswith("Unseen values: ['V00', 'V01', ")
+    assert said["extra_columns", None]["columns"] == ["a", "b"] and said["missing_columns", None]["columns"] == ["d"]
+    assert len(said) == found.count() and all(r["likely_cause"] and r["recommended_action"] for r in said.values())
+
+
+def test_preview_and_empty_ledger(spark, contract, tmp_path):
+    flagged = clean.flag_rows(spark.createDataFrame([("bad", "A", i) for i in range(30)], "x string, c string, k int"), contract, keep=["k"])
+    assert clean.quarantine_preview(flagged, contract, ["k"]).count() <= clean.PREVIEW_ROWS
+    (tmp_path / "in").mkdir()
+    stream = ingest.incoming(spark, str(tmp_path / "in"), ["x", "c"])
+    assert ingest.ingest(stream, contract, str(tmp_path / "work")).count() == 0
