@@ -93,24 +93,45 @@ def repeated_windows(members: DataFrame, length: int) -> DataFrame:
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(1)) - 1)))
     placed = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "lo", "hi", "witness", "part")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        """Repeated windows of whole groups; a window counts within its own group only."""
         parts = [np.frombuffer(p, np.uint8) for p in table.column("part").to_pylist()]
-        lo, hi = (table.column(c).to_numpy() for c in ("lo", "hi"))
+        lo, hi, tid = (table.column(c).to_numpy() for c in ("lo", "hi", "tid"))
+        key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])).astype(np.uint64)
         counts = (hi - lo + 1).astype(np.int64)
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         member = np.repeat(np.arange(len(parts)), counts)
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = starts[member] + step
-        windows = mixed(Rolling(np.concatenate(parts)).of(at, at + length))
+        windows = mixed(mixed(Rolling(np.concatenate(parts)).of(at, at + length)) + group[member] * np.uint64(0x9E3779B97F4A7C15))
         _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
-        twice = (times[where] > 1) & ~table.column("witness").to_numpy(zero_copy_only=False)[member]
-        place = np.where(twice, step + lo[member], -2)
-        begins = np.flatnonzero(twice & ~(np.concatenate([[False], twice[:-1]]) & np.concatenate([[False], member[1:] == member[:-1]])))
-        ends = np.flatnonzero(twice & ~(np.concatenate([twice[1:], [False]]) & np.concatenate([member[1:] == member[:-1], [False]])))
-        tid = table.column("tid").to_numpy()
-        return pa.table({"tid": tid[member[begins]], "lo": pa.array(place[begins], pa.int32()), "hi": pa.array(place[ends], pa.int32())})
-
-    return placed.groupBy("key", "i", "j").applyInArrow(compare, "tid bigint, lo int, hi int")
+        twice = (times[where] > 1) & ~table.column("witness").to_numpy()[member]
+        same = member[1:] == member[:-1]
+        begins = np.flatnonzero(twice & ~np.concatenate([[False], twice[:-1] & same]))
+        ends = np.flatnonzero(twice & ~np.concatenate([twice[1:] & same, [False]]))
+        columns = [pa.array(tid[member[begins]]), *(pa.array((step + lo[member])[x], pa.int32()) for x in (begins, ends))]
+        return pa.RecordBatch.from_arrays(columns, names=["tid", "lo", "hi"])
+
+    def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Collects rows up to the end of a group, then compares some thousand of them at once."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 2 * BLOCK:
+                continue
+            table = pa.Table.from_batches(held)
+            last = [table.column(c)[-1].as_py() for c in ("key", "i", "j")]
+            open_rows = np.logical_and.reduce([table.column(c).to_numpy() == x for c, x in zip(("key", "i", "j"), last)])
+            whole = table.num_rows - int(open_rows.sum())
+            if whole:
+                yield compare(table.slice(0, whole))
+            held = table.slice(whole).combine_chunks().to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    grouped = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(compare_all, "tid bigint, lo int, hi int")
 
 
 def sent_to(texts: DataFrame, ranges: DataFrame, how: str, number: int) -> DataFrame:
