@@ -30,8 +30,8 @@ from batchwatch.llm.common import written
 from batchwatch.llm.hashing import Rolling, mixed
 
 LENGTH, SEED = 200, 64
-#: Ranges up to this number are sent to the texts (tens of MB); beyond it the texts are shuffled to them.
-MOST_BROADCAST_RANGES = 1_000_000
+#: Ranges up to this number are sent to the texts (a MB or two); beyond it the texts are shuffled to them.
+MOST_BROADCAST_RANGES = 50_000
 BLOCK = 1000
 
 
