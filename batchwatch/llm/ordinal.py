@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, HEADS, PER_GRADE, STEPS, RATE, RIDGE, MIN_Z = 1 << 18, (4, 5), 4000, 300, 0.08, 1e-4, 4.0
+FEATURES, HEADS, PRESENT, PER_GRADE, STEPS, RATE, RIDGE, MIN_Z = 1 << 18, (4, 5), 0.2, 4000, 300, 0.08, 1e-4, 4.0
 SHAPES = 6
 WORD = re.compile(r"\w+")
 
@@ -60,7 +60,7 @@ class Features:
             sum(c.isupper() for c in text) / length if text else 0.0, 1 - len(set(lines)) / len(lines),
             len(words) / max(len(text) / 6, 1), min(np.log1p(len(text)) / 10, 2),
         ])
-        values = np.concatenate([np.full(len(own), 0.2), shapes])
+        values = np.concatenate([np.full(len(own), PRESENT), shapes])
         return np.concatenate([own, np.arange(FEATURES, FEATURES + SHAPES)]), values
 
 
@@ -76,12 +76,11 @@ class Model:
         return np.diff(np.column_stack([np.zeros(len(score)), below, np.ones(len(score))]), axis=1)
 
 
-def telling(where: np.ndarray, used: np.ndarray, grade: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each feature in use whether its share of rows differs between the two sides of some threshold. The shape
-    ratios always stay."""
-    counts = np.zeros((len(used), len(rows)))
-    np.add.at(counts, (where, grade), 1)
-    keep = used >= FEATURES
+def telling(ids: np.ndarray, grade: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For every feature whether its share of rows differs between the two sides of some threshold. The shape ratios
+    always stay. ``rows`` counts the rows of each grade."""
+    counts = np.stack([np.bincount(ids[grade == k], minlength=FEATURES + SHAPES) for k in range(len(rows))], axis=1)
+    keep = np.arange(FEATURES + SHAPES) >= FEATURES
     for k in range(1, len(rows)):
         low, high, n_low, n_high = counts[:, :k].sum(axis=1), counts[:, k:].sum(axis=1), rows[:k].sum(), rows[k:].sum()
         share = (low + high + 1) / (n_low + n_high + 2)
@@ -92,9 +91,8 @@ def telling(where: np.ndarray, used: np.ndarray, grade: np.ndarray, rows: np.nda
 def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, names: list) -> Model:
     """Maximum likelihood, rare grades with more weight (the root of their odds), by Adam steps over all rows."""
     ids, values = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    used, where = np.unique(ids, return_inverse=True)
-    often = telling(where, used, grades[owner], np.bincount(grades, minlength=len(names)))[where]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    often = telling(ids, grades.astype(np.int8)[owner], np.bincount(grades, minlength=len(names)))[ids]
     ids, values, owner = ids[often], values[often], owner[often]
     used, where = np.unique(ids, return_inverse=True)
     n, levels = len(rows), len(names)
@@ -144,18 +142,19 @@ def fit(docs: DataFrame, graded: DataFrame, per_grade: int = PER_GRADE) -> Model
         own = Features()
         for batch in batches:
             found = [own.of(t.as_py()) for t in batch.column("text")]
+            packed = [[f[0][:-SHAPES].astype(np.int32).tobytes() for f in found], [f[1][-SHAPES:].astype(np.float32).tobytes() for f in found]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("grade").cast(pa.int64()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                names=["doc_id", "grade", "ids", "vals"],
+                [batch.column("doc_id").cast(pa.string()), batch.column("grade").cast(pa.int64()), *(pa.array(p, pa.binary()) for p in packed)],
+                names=["doc_id", "grade", "ids", "shapes"],
             )
 
-    got = texts.mapInArrow(rows_of, "doc_id string, grade bigint, ids array<bigint>, vals array<double>")
+    got = texts.mapInArrow(rows_of, "doc_id string, grade bigint, ids binary, shapes binary")
     for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["grade"])):
-        row = np.array(r["ids"], np.int64), np.array(r["vals"])
-        key = row[0].tobytes()
-        if key not in seen:
-            seen.add(key)
-            rows.append(row)
+        if bytes(r["ids"]) not in seen:
+            seen.add(bytes(r["ids"]))
+            ids = np.frombuffer(bytes(r["ids"]), np.int32)
+            values = np.concatenate([np.full(len(ids), PRESENT, np.float32), np.frombuffer(bytes(r["shapes"]), np.float32)])
+            rows.append((np.concatenate([ids, np.arange(FEATURES, FEATURES + SHAPES, dtype=np.int32)]), values))
             grades.append(r["grade"])
     names = sorted(set(grades))
     if len(names) < 2:
