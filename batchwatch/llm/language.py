@@ -84,8 +84,9 @@ class Parser:
             table[code[byte]] = table[self.codes + target]
         self.twins = self.codes * self.codes
         self.first = self.codes * self.codes
-        self.table = (table * self.codes).ravel().tolist()
-        self.table[self.first:self.first + self.codes] = [k * self.codes for k in range(self.codes)]
+        table[self.codes] = np.arange(self.codes)  # a text starts with a phrase
+        shared = [k * self.codes for k in range(len(table))]  # one number object for each state, not for each arc
+        self.table = list(map(shared.__getitem__, table.ravel().tolist()))
 
     def phrases(self, data: bytes) -> int:
         table, twins, state, count = self.table, self.twins, self.first, 0
