@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -25,14 +26,25 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-split of the published byte-level vocabulary (fixed value), with white space spelled out as the Unicode property.
-WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-MOST_WORDS, MOST_ARCS, LONGEST_CACHED = 150_000, 500_000, 40
+#: Most entries of the word cache and of the arc table, and the longest word that is cached.
+MOST_WORDS, MOST_ARCS, LONGEST_CACHED = 400_000, 300_000, 40
 NEVER = 1 << 40
 
 
+def pre_split(engine, letters: str, digits: str, spaces: str):
+    """Pre-split of the published byte-level vocabulary (fixed value) for given classes of characters."""
+    return engine.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+#: The second one is for ASCII texts, where the plain engine is faster.
+UNICODE_WORDS = pre_split(regex, r"\p{L}", r"\p{N}", r"\p{White_Space}")
+ASCII_WORDS = pre_split(re, "A-Za-z", "0-9", r"\x09-\x0d\x20")
+
+
+def words(text: str) -> list[str]:
+    return (ASCII_WORDS if text.isascii() else UNICODE_WORDS).findall(text)
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter of each byte in published byte-level vocabularies: itself, or the next free one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,11 +64,16 @@ class MergeAutomaton:
             self.merge.setdefault(u << 32 | v, rank)
             if self.made[w] < 0:
                 self.made[w], self.left[w], self.right[w] = rank, u, v
-        self.length = {k: len(label) for label, k in vocab.items()}
-        self.reach: dict[bytes, int] = {}  # the longest token behind the first three bytes
-        for label in vocab:
-            for head in range(1, min(3, len(label)) + 1):
-                self.reach[label[:head]] = max(self.reach.get(label[:head], 0), len(label))
+        self.length, self.longest = [0] * size, max(map(len, vocab))
+        self.next: dict[int, int] = {}  # the tokens' bytes as a tree: node * 256 + byte -> node
+        self.token = [-1]
+        for label, k in vocab.items():
+            self.length[k], node = len(label), 0
+            for byte in label:
+                node = self.next.setdefault(node << 8 | byte, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+            self.token[node] = k
         self.arcs: dict[int, bool] = {}
 
     def arc(self, x: int, y: int) -> bool:
@@ -84,29 +101,35 @@ class MergeAutomaton:
         """The one path that spells ``word``: the longest token with an arc is taken, and taken back where no arc leads
         on. Bytes up to a place have one path only, so a place that was left once is never entered again."""
         path: list[int] = []
-        at, end, left, arcs, id_of = 0, len(word), set(), self.arcs, self.id_of
-        size = min(self.reach.get(word[:3], 2), end)
-        while at < end:
-            while size:
-                token = id_of.get(word[at:at + size])
-                if token is not None and at + size not in left:
-                    if not path:
-                        break
-                    known = arcs.get(path[-1] << 32 | token)
-                    if known or known is None and self.arc(path[-1], token):
-                        break
-                size -= 1
-            if size:
-                path.append(token)
-                at += size
-                size = min(self.reach.get(word[at:at + 3], 2), end - at)
-            elif path:
-                left.add(at)
-                size = self.length[path.pop()]
-                at -= size
-                size -= 1
+        at, size, limit, left = 0, len(word), len(word), set()
+        step, token_at, length, longest, arcs = self.next.get, self.token, self.length, self.longest, self.arcs.get
+        while at < size:
+            node, options = 0, []
+            for byte in word[at:min(limit, at + longest)]:
+                node = step(node << 8 | byte)
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    options.append(token_at[node])
+            before = path[-1] << 32 if path else -1
+            for token in reversed(options):
+                if left and at + length[token] in left:
+                    continue
+                if before < 0:
+                    break
+                known = arcs(before | token)
+                if known or known is None and self.arc(path[-1], token):
+                    break
             else:
-                raise ValueError("a byte is not in the vocabulary")
+                if not path:
+                    raise ValueError("a byte is not in the vocabulary")
+                left.add(at)
+                limit = at - 1
+                at -= length[path.pop()]
+                continue
+            path.append(token)
+            at += length[token]
+            limit = size
         return tuple(path)
 
 
@@ -122,7 +145,7 @@ class Codec(dict):
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton(vocab, [(to_bytes(u), to_bytes(v)) for u, v in pairs])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.labels = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for label, k in chain(vocab.items(), ((s.encode(), k) for s, k in self.special.items())):
             self.labels[k] = label
@@ -139,8 +162,8 @@ class Codec(dict):
         if not text:
             return np.zeros(0, np.int32)
         parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-        words = [[(self.special[p],)] if p in self.special else map(self.__getitem__, WORDS.findall(p)) for p in parts]
-        return np.fromiter(chain.from_iterable(chain.from_iterable(words)), np.int32)
+        tokens = [[(self.special[p],)] if p in self.special else map(self.__getitem__, words(p)) for p in parts]
+        return np.fromiter(chain.from_iterable(chain.from_iterable(tokens)), np.int32)
 
     def decode(self, ids: list[int] | None) -> str:
         return b"".join(map(self.labels.__getitem__, ids or [])).decode("utf-8", "replace")
