@@ -159,6 +159,35 @@ def test_leaks_find_paraphrases_and_spare_the_rest(spark, edge, empty):
     assert decontaminate.clean(edge, bench).count() == edge.count() and decontaminate.clean(edge, bench).columns == edge.columns
 
 
+def leaking(spark, rows, items):
+    """(doc_id, item_id) of the items found, among a hundred other documents that share some words."""
+    aside = [(1000 + k, " ".join(f"common{j} aside{k}x{j}" for j in range(60))) for k in range(100)]
+    found = decontaminate.find(spark.createDataFrame([*rows, *aside], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    pairs = [(r["doc_id"], r["item_id"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs))
+    return sorted(pairs)
+
+
+def test_leaks_are_looked_for_in_every_window(spark):
+    words, short = [f"term{i}" for i in range(40)], [f"thing{i}" for i in range(20)]
+    common = [f"common{i}" for i in range(60)]
+    edited = [w if k % 10 < 7 else f"swap{k}" for k, w in enumerate(words[:-5])] + words[-5:]
+    run = ["thing3"] * 64
+    rows = [
+        (1, " ".join([*common, *words[:20], *common, *edited])),  # half of it word for word, then all of it edited
+        (2, " ".join([*run, *common, *short])), (3, " ".join([*words[:20], *common])), (4, " ".join(run)),
+    ]
+    assert leaking(spark, rows, [(1, " ".join(words)), (2, " ".join(short))]) == [(1, 1), (2, 2)]
+
+
+def test_window_norms_are_those_of_word_counts():
+    rng = np.random.default_rng(6)
+    f, idf = rng.integers(0, 12, 100), rng.random(12)
+    starts = np.arange(0, 69)
+    got = decontaminate.window_norms(idf[f] ** 2, decontaminate.repeats(f, 32), starts, 32)
+    assert np.allclose(got, [((idf * np.bincount(f[s:s + 32], minlength=12)) ** 2).sum() for s in starts])
+
+
 def auc(score, positive):
     rank = np.argsort(np.argsort(score))
     n = positive.sum()
