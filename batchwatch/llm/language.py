@@ -5,11 +5,12 @@ that text; a language that knows the document needs few phrases. The cross entro
 document bytes`` and the lowest one wins, ties by name.
 
 The labelled text is a bounded sample: about ``DOCS_PER_LANG`` documents by the lowest hash of their id, of which whole texts are taken
-while they fit into ``BYTES_PER_LANG`` bytes, each different text once. It reaches the tasks as text (``BYTES_PER_LANG`` for each language)
-and is compiled once in each Python worker. Parsing is one table step for each byte and language, with no shuffle.
+while they fit into ``BYTES_PER_LANG`` bytes, each different text once; what is then left of the bytes is shared out to pieces of the
+texts that did not fit (of longer texts, the middle). It reaches the tasks as text (``BYTES_PER_LANG`` for each language) and is
+compiled once in each Python worker. Parsing is one table step for each byte and language, with no shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. With one language learned the score is 1; with
-none every document is ``und``. Rows with null id, lang or text are never learned from. Repeated rows get equal results; an
+none every document is ``und``, and :func:`accepted` keeps all texts with a letter. Rows with null id, lang or text are never learned from. Repeated rows get equal results; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_LANG, BYTES_PER_LANG, UNKNOWN = 64, 24_000, "und"
+DOCS_PER_LANG, BYTES_PER_LANG, LEAST_PIECE, UNKNOWN = 64, 24_000, 500, "und"
+ANY = "any"  # stands for all languages where none is learned
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
@@ -130,15 +132,29 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: i
     order = F.xxhash64(F.col("doc_id"))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, 2.0 * docs_per_lang / n))])
     drawn = known.withColumn("o", order).filter(F.pmod("o", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    # longer texts are cut before they come to the driver; runs of ASCII characters that are no letters go first, as in normal()
+    letters = F.regexp_replace("text", r"[\x00-@\[-`{-\x7f]+", " ").cast("binary")
+    middle = letters.substr(F.greatest(F.lit(1), F.floor((F.octet_length(letters) - bytes_per_lang) / 2).cast("int") + 1), F.lit(bytes_per_lang))
     fits = F.octet_length("text") <= bytes_per_lang
-    model = {}
-    for row in sorted(drawn.filter(fits).select("lang", "text", "o").collect(), key=lambda r: (r["lang"], r["o"], r["text"])):
-        held, texts = model.setdefault(row["lang"], ([0], {}))
-        text = normal(row["text"])
-        if text and text not in texts and held[0] + len(text) <= bytes_per_lang:
-            texts[text] = None
-            held[0] += len(text) + 1
-    return tuple((lang, b" ".join(texts)) for lang, (_, texts) in sorted(model.items()) if texts)
+    rows = drawn.select("lang", "o", fits.alias("fits"), F.when(fits, F.col("text").cast("binary")).otherwise(middle).alias("text")).collect()
+    held: dict[str, tuple[dict, dict]] = {}
+    for row in sorted(rows, key=lambda r: (r["lang"], r["o"], r["text"])):
+        whole, cut = held.setdefault(row["lang"], ({}, {}))
+        text = normal(bytes(row["text"]).decode("utf-8", "ignore"))
+        if text and text not in whole:
+            (whole if row["fits"] and sum(map(len, whole)) + len(whole) + len(text) <= bytes_per_lang else cut)[text] = None
+    return tuple((lang, sample) for lang, (whole, cut) in sorted(held.items()) if (sample := filled(whole, cut, bytes_per_lang)))
+
+
+def filled(whole: dict[bytes, None], cut: dict[bytes, None], size: int) -> bytes:
+    """The whole texts, then equal pieces of the others in what is left of ``size`` bytes."""
+    texts, rest = list(whole), size - sum(map(len, whole)) - len(whole)
+    for k, text in enumerate(cut):
+        piece = text[:min(max(rest // (len(cut) - k), LEAST_PIECE), max(rest, 0))].decode("utf-8", "ignore").strip().encode()
+        if piece:
+            texts.append(piece)
+            rest -= len(piece) + 1
+    return b" ".join(texts)
 
 
 def languages_of(text: Column, model: tuple[tuple[str, bytes], ...]) -> Column:
@@ -161,5 +177,5 @@ def identify(docs: DataFrame, model: tuple[tuple[str, bytes], ...]) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: tuple[tuple[str, bytes], ...]) -> DataFrame:
-    """The documents that have a language; all columns stay as they are."""
-    return docs.filter(languages_of(F.col("text"), model)["lang"] != UNKNOWN)
+    """The documents that have a language, or with no language learned those that have a letter; all columns stay as they are."""
+    return docs.filter(languages_of(F.col("text"), model or ((ANY, b" "),))["lang"] != UNKNOWN)

@@ -98,3 +98,22 @@ def test_language_edges(edge, empty):
     assert all(got[k] == ("und", 0.0) for k in (6, 7, 8, 12)) and got[4][0] in dict(model)
     assert language.learn(empty) == () and language.identify(empty, ()).count() == 0
     assert language.accepted(edge, model).columns == edge.columns
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(7)
+    prose = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    digits = "1234 " * 30_000
+    rows = [(k, prose("abcdefé", 6000), "long") for k in range(9)] + [(k, prose("uvwxyz", 40), "short") for k in range(20, 40)]
+    rows += [(k, prose("ghijkl", 9000) + digits, "tail") for k in range(50, 59)] + [(60, digits, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert [k for k, _ in model] == ["long", "short", "tail"]
+    assert all(language.BYTES_PER_LANG * 0.98 < len(v) <= language.BYTES_PER_LANG for k, v in model if k != "short")
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert all(found[i] == (lang if lang != "none" else "und") for i, _, lang in rows)
+
+
+def test_texts_stay_where_no_language_is_learned(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ж", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.accepted(docs, language.learn(docs)).collect()) == [1, 4]
