@@ -180,6 +180,13 @@ def test_leaks_are_looked_for_in_every_window(spark):
     assert leaking(spark, rows, [(1, " ".join(words)), (2, " ".join(short))]) == [(1, 1), (2, 2)]
 
 
+def test_leaks_of_one_passage_of_a_long_item(spark):
+    words, common = [f"term{i}" for i in range(300)], [f"common{i}" for i in range(60)]
+    closing = [w if k % 3 else f"swap{k}" for k, w in enumerate(words[-40:])][:-5] + words[-5:]
+    rows = [(k, " ".join([*common, *part, *common])) for k, part in enumerate((words[48:120], words[200:210], closing, [w if k % 3 else f"x{k}" for k, w in enumerate(words[48:120])]))]
+    assert leaking(spark, rows, [(1, " ".join(words))]) == [(0, 1), (2, 1)]
+
+
 def test_window_norms_are_those_of_word_counts():
     rng = np.random.default_rng(6)
     f, idf = rng.integers(0, 12, 100), rng.random(12)
