@@ -187,6 +187,22 @@ def test_leaks_of_one_passage_of_a_long_item(spark):
     assert leaking(spark, rows, [(1, " ".join(words))]) == [(0, 1), (2, 1)]
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    common = [f"common{i}" for i in range(60)]
+    rare = [f"rare{i}" for i in range(60)]
+    eight, ten, three = [f"common{i}" for i in range(0, 24, 3)], [f"term{i}" for i in range(10)], ["common9", "common2", "common5"]
+    rng = np.random.default_rng(8)
+    han, kana = ("".join(map(chr, rng.integers(low, high, n))) for low, high, n in ((0x4E00, 0x9FA0, 40), (0x3041, 0x3097, 30)))
+    around = lambda low, high: "".join(map(chr, rng.integers(low, high, 200)))
+    rows = [
+        (1, " ".join([*rare, *eight, *rare])), (2, " ".join([*rare, *ten[:4], "swap", *ten[5:], *rare])), (3, " ".join([*common, *three])),
+        (4, around(0x4E00, 0x9FA0) + han + "\u3002" + around(0x4E00, 0x9FA0)), (5, around(0x4E00, 0x9FA0) + han[:20] + "\u4e00" + han[21:] + around(0x4E00, 0x9FA0)),
+        (6, around(0x3041, 0x3097) + kana + around(0x3041, 0x3097)), (7, around(0x3041, 0x3097) * 3), (8, " ".join(three[:2])),
+    ]
+    items = [" ".join(eight), " ".join(ten), " ".join(three), han, kana, "\u3002 !", ""]
+    assert leaking(spark, rows, list(enumerate(items))) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)]
+
+
 def test_window_norms_are_those_of_word_counts():
     rng = np.random.default_rng(6)
     f, idf = rng.integers(0, 12, 100), rng.random(12)
