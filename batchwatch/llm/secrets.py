@@ -30,8 +30,15 @@ class Rule:
     ignore_case: bool = False
     min_bytes: int = 1
     min_tail: int = 1
+    #: What may follow the pattern and then belongs to the span; it has no part in where matches start.
+    rest: str = ""
 
 
+#: Rest of a private key: up to its END line, or where that is missing the base64 lines (line breaks may be written as \\n), the last
+#: of them short, behind the two fields of encrypted keys.
+_TO_END = r"(?:-?-?-?-?[^-])*-----END [A-Z ]*PRIVATE KEY-----"
+_BREAK = r"(?:[\x20\t]*(?:\r|\n|\\r|\\n)[\x20\t]*)+"
+_LINES = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info): [A-Za-z0-9,\x20-]*)*(?:(?:{_BREAK}|[\x20\t]*)[A-Za-z0-9+/=]{{20,}})+(?:{_BREAK}[A-Za-z0-9+/=]{{1,19}})?"
 #: Kinds and patterns (fixed values). The first three are the base rules.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, min_tail=6),
@@ -39,7 +46,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", min_bytes=40),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", min_bytes=30),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", rest=rf"(?:{_TO_END}|{_LINES})?"),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -50,7 +57,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.scan = compile_dfa([(r.pattern, r.ignore_case) for r in rules], backwards=True)
-        self.each = [compile_dfa([(r.pattern, r.ignore_case)], backwards=False) for r in rules]
+        self.each = [compile_dfa([(r.pattern + r.rest, r.ignore_case)], backwards=False) for r in rules]
 
     def starts(self, data: bytes) -> list[tuple[int, int]]:
         """(position, state) of all match starts, from the last to the first."""

@@ -36,6 +36,21 @@ def test_secrets_added_kinds():
     assert [s["kind"] for s in secrets.scanner(secrets.RULES).spans(text)] == ["github", "jwt", "pem"]
 
 
+def test_private_keys_are_spans_up_to_their_end():
+    rng, of = random.Random(9), secrets.scanner(secrets.RULES)
+    lines = ["".join(rng.choice("ABCDwxyz0189+/") for _ in range(64)) for _ in range(5)] + ["q9Zx+w=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    for gap in ("\n", "\r\n", "\\n", "\n  "):
+        for body in (lines, fields + lines):
+            for key in (gap.join([begin, *body, end]), gap.join([begin, *body])):
+                text = f"é before {key}\n-- after, all words stay"
+                assert secrets.redacted(text, of.spans(text)) == "é before [PEM]\n-- after, all words stay"
+    two = "\n".join([begin, *lines, end, "between", begin, *lines])
+    assert secrets.redacted(two, of.spans(two)) == "[PEM]\nbetween\n[PEM]"
+    assert secrets.redacted(f"{begin} is its first line", of.spans(f"{begin} is its first line")) == "[PEM] is its first line"
+
+
 def test_secret_scan_and_redaction(edge, empty, edge_rows):
     assert secrets.digests(secrets.scan(empty)).count() == 0
     got = sorted((r["doc_id"] or 0, tuple(map(tuple, r["spans"]))) for r in secrets.scan(edge).collect())
