@@ -7,7 +7,7 @@ import importlib
 
 from batchwatch.llm.common import ship
 
-MODULES = ("q_host_rules", "q_secrets", "q_substrings", "q_shards", "q_language", "q_decontaminate", "q_jaccard", "q_ordinal", "q_bpe")
+MODULES = ("q_host_rules", "q_secrets", "q_substrings", "q_shards", "q_language", "q_decontaminate", "q_jaccard", "q_ordinal", "q_bpe", "q_seed", "q_merkle", "q_phrases")
 
 
 def _shipped(query):
