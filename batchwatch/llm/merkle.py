@@ -1,14 +1,14 @@
 """Merkle manifest of a table, by time-forward processing: digests travel up the tree in label order, proofs travel back down.
 
 A tree has ``FAN`` children a node; every ``FAN`` consecutive nodes of a level (the last run fewer, even one) have a parent while more
-than one node remains. Spark's sort is the external priority queue between tasks: it delivers the nodes of each subtree of ``SPAN``
+than one node remains. Spark's sort is the external priority queue between tasks: it delivers the nodes of each subtree of ``FAN^HEIGHT``
 leaves, in label order, to one task. Inside a task a heap ordered by node label delivers child digests to their parents, and
-holds at most ``FAN`` messages a level. The tops of the subtrees are the leaves of the next round, so n leaves take log_SPAN(n) rounds
+holds at most ``FAN`` messages a level. The tops of the subtrees are the leaves of the next round, so n leaves take log(n) / log(4096) rounds
 and a large source is many subtrees.
 
 The reversed sweep starts at the root: parents come before their children, and each node hands its children the siblings on the way
 up, so that a leaf has its whole proof when the sweep reaches it. Proofs exist inside tasks only, one path at a time for each open level;
-a table holds them only for the tops of subtrees, one in ``SPAN`` leaves.
+a table holds them only for the tops of subtrees, one in 4,096 leaves.
 
 Places of leaves are numbered in (source, doc_id) order by a range sort that is written once: the place is the row number in the sorted
 part plus the totals of the parts before it. No group is in one task.
@@ -31,8 +31,9 @@ from pyspark.sql.types import StructType
 
 from batchwatch.llm.common import written
 
-FAN, HEIGHT = 16, 3
-SPAN = FAN**HEIGHT
+FAN = 16
+#: Levels that a task folds at once: subtrees of 4,096 leaves.
+HEIGHT = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,9 +76,8 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
 class Queue:
     """Messages to the nodes of one subtree, delivered in label order: (last leaf below the node, level)."""
 
-    def __init__(self, size: int, alone: bool):
-        self.size, self.heap = size, []
-        self.height = height_of(size) if alone else HEIGHT
+    def __init__(self, size: int, height: int):
+        self.size, self.height, self.heap = size, height, []
 
     def send(self, level: int, index: int, value: str) -> None:
         """To the parent of a node."""
@@ -106,9 +106,10 @@ def height_of(n: int) -> int:
     return height
 
 
-def swept(nodes: DataFrame) -> DataFrame:
-    """(g, chunk, n, level, place, value, top): the nodes above ``nodes`` (g, place, n, value) within subtrees of ``SPAN``; of a subtree of one
-    node that node itself."""
+def swept(nodes: DataFrame, height: int) -> DataFrame:
+    """(g, chunk, n, level, place, value, top): the nodes above ``nodes`` (g, place, n, value) within subtrees of ``height`` levels; of a group
+    of one node that node itself."""
+    span = FAN**height
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue, at = None, None
@@ -116,8 +117,8 @@ def swept(nodes: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for g, chunk, n, place, value in zip(*(batch.column(c).to_pylist() for c in ("g", "chunk", "n", "place", "value"))):
                 if at != (g, chunk):
-                    at, queue = (g, chunk), Queue(min(SPAN, n - chunk * SPAN), n <= SPAN)
-                leaf = place - chunk * SPAN
+                    at, queue = (g, chunk), Queue(min(span, n - chunk * span), height if n > span else height_of(n))
+                leaf = place - chunk * span
                 if queue.height:
                     queue.send(0, leaf, value)
                     out.extend((g, chunk, n, level, index, v, level == queue.height) for level, index, v in queue.take(leaf))
@@ -127,21 +128,21 @@ def swept(nodes: DataFrame) -> DataFrame:
                 types = pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["g", "chunk", "n", "level", "place", "value", "top"])
 
-    placed = nodes.select("g", F.expr(f"place div {SPAN}").alias("chunk"), "n", "place", "value")
+    placed = nodes.select("g", F.expr(f"place div {span}").alias("chunk"), "n", "place", "value")
     sorted_rows = placed.repartition("g", "chunk").sortWithinPartitions("g", "chunk", "place")
     return sorted_rows.mapInArrow(rows, "g string, chunk bigint, n bigint, level int, place bigint, value string, top boolean")
 
 
-def folded(leaves: DataFrame, name: str) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
+def folded(leaves: DataFrame, height: int, name: str) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
     """The rounds (leaves of the round, nodes above them) and the root (g, value) of each group."""
-    rounds, roots, todo = [], None, leaves
+    rounds, roots, todo, span = [], None, leaves, FAN**height
     while True:
-        nodes = written(swept(todo), f"{name}-{len(rounds)}")
+        nodes = written(swept(todo, height), f"{name}-{len(rounds)}")
         rounds.append((todo, nodes))
         tops = nodes.filter("top")
-        done = tops.filter(F.col("n") <= SPAN).select("g", "value")
+        done = tops.filter(F.col("n") <= span).select("g", "value")
         roots = done if roots is None else roots.union(done)
-        todo = tops.filter(F.col("n") > SPAN).select("g", F.col("chunk").alias("place"), F.ceil(F.col("n") / SPAN).alias("n"), "value")
+        todo = tops.filter(F.col("n") > span).select("g", F.col("chunk").alias("place"), F.ceil(F.col("n") / span).alias("n"), "value")
         if todo.isEmpty():
             return rounds, roots
 
@@ -177,13 +178,13 @@ def proof(leaf: str, path: Path) -> tuple[str, str]:
     return digest(*siblings), leaf
 
 
-def delivered(todo: DataFrame, nodes: DataFrame, headers: DataFrame, to_documents: bool) -> DataFrame:
+def delivered(todo: DataFrame, nodes: DataFrame, headers: DataFrame, height: int, to_documents: bool) -> DataFrame:
     """The reversed sweep over one round: ``headers`` (g, chunk, path, subroot, root) come down to the leaves of each subtree.
 
     The result holds (doc_id, leaf, subroot, root, proof_sha256, folded_root), or else the headers of the round below."""
-    id_type = dict(todo.dtypes).get("doc_id", "bigint")
+    span, id_type = FAN**height, dict(todo.dtypes).get("doc_id", "bigint")
     empty = {"n": "bigint", "doc_id": id_type, "other": "string", "path": PATH, "subroot": "string", "root": "string"}
-    chunk, index = F.expr(f"place div {SPAN}").alias("chunk"), F.expr(f"place % {SPAN}").alias("index")
+    chunk, index = F.expr(f"place div {span}").alias("chunk"), F.expr(f"place % {span}").alias("index")
 
     def shaped(df: DataFrame, *columns: Column | str) -> DataFrame:
         df = df.select(*columns)
@@ -213,7 +214,7 @@ def delivered(todo: DataFrame, nodes: DataFrame, headers: DataFrame, to_document
                 elif to_documents:
                     yield (doc_id, value, *top[1:], *proof(other or value, path))
                 else:
-                    yield (*at[:1], at[1] * SPAN + index, unlinked(path), *top[1:])
+                    yield (*at[:1], at[1] * span + index, unlinked(path), *top[1:])
             run.clear()
 
         def packed(out: list[tuple]) -> pa.RecordBatch:
@@ -238,31 +239,31 @@ def delivered(todo: DataFrame, nodes: DataFrame, headers: DataFrame, to_document
     return ordered.mapInArrow(rows, found)
 
 
-def unfolded(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame, to_documents: bool, name: str) -> DataFrame:
+def unfolded(rounds: list[tuple[DataFrame, DataFrame]], tops: DataFrame, height: int, to_documents: bool, name: str) -> DataFrame:
     """Sends the headers of the groups' tops (g, path, subroot, root) down all rounds. A group enters in the round in which it was folded
     to its root; below that it is met through its subtrees."""
     below = None
     for k in range(len(rounds) - 1, -1, -1):
         todo, nodes = rounds[k]
-        ended = nodes.filter(F.col("top") & (F.col("n") <= SPAN)).select(F.col("g").alias("_g"))
+        ended = nodes.filter(F.col("top") & (F.col("n") <= FAN**height)).select(F.col("g").alias("_g"))
         entering = tops.join(ended, F.col("g").eqNullSafe(F.col("_g")), "left_semi").select("g", F.lit(0).cast("bigint").alias("chunk"), "path", "subroot", "root")
         headers = entering if below is None else entering.union(below)
-        below = delivered(todo, nodes, headers, to_documents and k == 0)
+        below = delivered(todo, nodes, headers, height, to_documents and k == 0)
         if k:
             below = written(below, f"{name}-{k}")
     return below
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot (root of the source), root, proof_sha256, folded_root and verified of each row of ``docs``."""
     leaves = numbered(written(leaves_of(docs), "leaves"), "source", ["doc_id", "leaf"], "placed")
     leaves = leaves.select(F.col("source").alias("g"), "place", "n", F.col("leaf").alias("value"), "doc_id", "other")
-    rounds, roots = folded(leaves, "sources")
+    rounds, roots = folded(leaves, height, "sources")
     sources = written(roots, "subroots")
     ordered = numbered(sources.select(F.lit("").alias("all"), "g", "value"), "all", ["g"], "sources-placed")
-    upper, root = folded(ordered.select(F.col("all").alias("g"), "place", "n", "value"), "dataset")
+    upper, root = folded(ordered.select(F.col("all").alias("g"), "place", "n", "value"), height, "dataset")
     start = root.select("g", F.array().cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("value").alias("root"))
-    paths = unfolded(upper, start, False, "dataset-paths").withColumnRenamed("chunk", "place")
+    paths = unfolded(upper, start, height, False, "dataset-paths").withColumnRenamed("chunk", "place")
     tops = ordered.join(paths.drop("g", "subroot"), "place").select("g", "path", F.col("value").alias("subroot"), "root")
-    proved = unfolded(rounds, written(tops, "source-paths"), True, "source-paths")
+    proved = unfolded(rounds, written(tops, "source-paths"), height, True, "source-paths")
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))

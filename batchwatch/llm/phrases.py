@@ -2,7 +2,7 @@
 
 Each task counts all phrases of one to three words of its texts in one trie for each language. The trie is shallow: its root is
 keyed by the number of the first word, and below it stand hash containers, keyed by the rest of the phrase. A container that grows over
-``BURST`` entries bursts into a node keyed by the second word, with a container for each. When a task holds ``MOST`` entries (or ``WORDS``
+``burst`` entries bursts into a node keyed by the second word, with a container for each. When a task holds ``entries`` of them (or ``words``
 different words), the largest subtrees are spilled whole, as runs sorted by phrase, until half is left. Runs travel by their first two
 words, and each partition of prefixes merges its runs. So a phrase is a row for each spill, however often it occurs, a frequent
 word's phrases are spread by their second words, and memory is bounded whatever the text holds.
@@ -18,6 +18,7 @@ the next); empty tables give no phrases; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,18 @@ from pyspark.sql import functions as F
 from batchwatch.llm.common import written
 
 LONGEST, LEAST, PERCENT, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
-#: Entries of a container, entries and words of a task, bytes that are counted at once.
-BURST, MOST, WORDS, BYTES = 4096, 400_000, 300_000, 2_000_000
-BITS = 21  # a word's number: WORDS and the words of one piece stay below 2^21
+BITS = 21  # a word's number: those of a task and of one piece stay below 2^21
+
+
+class Limits(NamedTuple):
+    """Entries of a container, entries and words of a task, bytes that are counted at once."""
+
+    burst: int = 4096
+    entries: int = 400_000
+    words: int = 300_000
+    bytes: int = 2_000_000
+
+
 LOW = (1 << BITS) - 1
 #: Characters that end a piece become this one, which no word can hold (fixed values).
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b".........." )
@@ -42,7 +52,8 @@ class Node(dict):
 class Trie:
     """Counts of phrases of one language, as packed numbers of up to three words."""
 
-    def __init__(self):
+    def __init__(self, burst: int):
+        self.most = burst
         self.root: dict[int, dict] = {}
         self.sizes: dict[int, int] = {}
 
@@ -71,7 +82,7 @@ class Trie:
                 for rest, number in zip(rests, numbers):
                     below[rest] = below.get(rest, 0) + number
                 grown += len(below)
-                if len(below) > BURST:
+                if len(below) > self.most:
                     self.burst(first)
             self.sizes[first] = self.sizes.get(first, 0) + grown
             new += grown
@@ -99,7 +110,8 @@ class Trie:
 class Counter:
     """The tries of one task."""
 
-    def __init__(self):
+    def __init__(self, limits: Limits):
+        self.limits = limits
         self.numbers: dict[bytes, int] = {b".": 0}
         self.words: list[str] = [""]
         self.tries: dict[str, Trie] = {}
@@ -120,7 +132,7 @@ class Counter:
         one, pairs = one & (at >= carried), pairs & (at >= carried - 1)
         packed = np.concatenate([(ids << 2 * BITS)[one], (ids << 2 * BITS | two << BITS)[pairs], (ids << 2 * BITS | two << BITS | three)[triples]])
         phrases, counts = np.unique(packed, return_counts=True)
-        self.entries += self.tries.setdefault(lang, Trie()).add(phrases, counts)
+        self.entries += self.tries.setdefault(lang, Trie(self.limits.burst)).add(phrases, counts)
         self.totals[lang] = self.totals.get(lang, 0) + int(one.sum())
         return found[-2:]
 
@@ -128,7 +140,7 @@ class Counter:
         """Sorted runs of the largest subtrees, until half of the entries is left (or nothing)."""
         order = sorted(((n, lang, first) for lang, trie in self.tries.items() for first, n in trie.sizes.items()), reverse=True)
         run: list[tuple[str, str, int]] = []
-        target = 0 if everything else MOST // 2
+        target = 0 if everything else self.limits.entries // 2
         for n, lang, first in order:
             if not everything and self.entries <= target:
                 break
@@ -147,7 +159,7 @@ class Counter:
 
     def forget(self) -> None:
         """Starts a new numbering of words, once everything is spilled."""
-        self.__init__()
+        self.__init__(self.limits)
 
 
 def sorted_run(run: list[tuple[str, str, int]]) -> pa.RecordBatch:
@@ -156,42 +168,42 @@ def sorted_run(run: list[tuple[str, str, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(number, pa.int64())], names=["lang", "phrase", "f"])
 
 
-def pieces(data: bytes) -> Iterator[bytes]:
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
     """A text's megabytes, cut before a space or the end of a piece."""
     at = 0
     while at < len(data):
-        end = at + BYTES
+        end = at + size
         while end < len(data) and data[end] not in b" \t.":
             end += 1
         yield data[at:end]
         at = end
 
 
-def runs_of(texts: DataFrame) -> DataFrame:
+def runs_of(texts: DataFrame, limits: Limits) -> DataFrame:
     """(lang, phrase, f): counts of phrases, a row for each spill; the phrase of no words is the number of words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held, size = Counter(), {}, {}
+        counter, held, size = Counter(limits), {}, {}
 
         def relieved() -> Iterator[pa.RecordBatch]:
-            if len(counter.words) > WORDS:
+            if len(counter.words) > limits.words:
                 yield from counter.spilled(True)
                 counter.forget()
-            elif counter.entries > MOST:
+            elif counter.entries > limits.entries:
                 yield from counter.spilled(False)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().translate(ENDS)
-                if len(data) > BYTES:
+                if len(data) > limits.bytes:
                     last: list[bytes] = []
-                    for piece in pieces(data):
+                    for piece in pieces(data, limits.bytes):
                         last = counter.count(lang, b" ".join([*last, piece]), len(last))
                         yield from relieved()
                     continue
                 held.setdefault(lang, []).append(data)
                 size[lang] = size.get(lang, 0) + len(data)
-                if size[lang] >= BYTES:
+                if size[lang] >= limits.bytes:
                     counter.count(lang, b".".join(held.pop(lang)))
                     size.pop(lang)
                     yield from relieved()
@@ -203,10 +215,10 @@ def runs_of(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "lang string, phrase string, f bigint")
 
 
-def frequent(docs: DataFrame) -> DataFrame:
+def frequent(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(lang, phrase, f) of the phrases of at least ``LEAST`` occurrences, and the number of words as the phrase of none."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    runs = runs_of(docs.select(lang.alias("lang"), "text")).withColumn("prefix", F.substring_index("phrase", " ", 2))
+    runs = runs_of(docs.select(lang.alias("lang"), "text"), limits).withColumn("prefix", F.substring_index("phrase", " ", 2))
     merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
     return written(merged.filter(f"f >= {LEAST} or phrase = ''").select("lang", "phrase", "f"), "phrases")
 
@@ -240,9 +252,9 @@ def covers(counts: DataFrame) -> DataFrame:
     return longer.select("lang", inner, "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
 
 
-def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, limits: Limits = Limits()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best ``top`` phrases of each language."""
-    counts = frequent(docs)
+    counts = frequent(docs, limits)
     kept = scored(counts).join(covers(counts), ["lang", "phrase"], "left").filter(f"longer is null or 100 * longer < {PERCENT} * a")
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)  # Spark ranks before it shuffles, too

@@ -108,13 +108,13 @@ def smallest_of_windows(keys: np.ndarray, width: int) -> np.ndarray:
     return high == keys
 
 
-def seeds(words: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+def seeds(words: np.ndarray, window: int, gram: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(gram hash, context hash, place, words left, words right) of the anchors of one text, piece by piece."""
     n, reach = len(words), window - gram
     if n < window:
         return
-    for lo in range(0, n, PIECE):
-        hi, left = min(lo + PIECE, n), max(0, lo - 2 * window)
+    for lo in range(0, n, size):
+        hi, left = min(lo + size, n), max(0, lo - 2 * window)
         piece = words[left:min(n, hi + 2 * window)]
         if len(piece) < window:
             continue
@@ -131,7 +131,7 @@ def seeds(words: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarra
         yield keys[at], context, at + left, before, after
 
 
-def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
+def anchors(texts: DataFrame, window: int, gram: int, size: int) -> DataFrame:
     """(tid, key, context, place, before, after), once for each text and task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +148,10 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 if tid in seen:
                     continue
                 seen.add(tid)
-                for piece in seeds(hashes_of(text.as_py(), known), window, gram):
+                for piece in seeds(hashes_of(text.as_py(), known), window, gram, size):
                     found.append((np.full(len(piece[0]), tid, np.int64), *piece))
                     held += len(piece[0])
-                    if held > PIECE:
+                    if held > size:
                         yield packed(found)
                         found, held = [], 0
             if found:
@@ -160,9 +160,9 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(rows, "tid bigint, key bigint, context bigint, place int, before int, after int")
 
 
-def extensions(texts: DataFrame, wanted: DataFrame, window: int, gram: int) -> DataFrame:
+def extensions(texts: DataFrame, wanted: DataFrame, window: int, gram: int, size: int) -> DataFrame:
     """(key, extension, tid, lo): every window around the ``wanted`` places (tid, places: key, place, before, after)."""
-    step = PIECE // (2 * window)
+    step = max(1, size // (2 * window))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
@@ -191,9 +191,9 @@ def extensions(texts: DataFrame, wanted: DataFrame, window: int, gram: int) -> D
     return texts.join(wanted, "tid").select("tid", "text", "places").mapInArrow(rows, "key bigint, extension bigint, tid bigint, lo int")
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = PIECE) -> DataFrame:
     """(tid, lo, hi): word ranges of repeats, for ``texts`` (tid, text)."""
-    found = written(anchors(texts, window, gram), "anchors")
+    found = written(anchors(texts, window, gram, size), "anchors")
     variants = found.groupBy("key", "context").agg(
         F.count(F.lit(1)).alias("n"), F.first("tid").alias("tid"), F.first("place").alias("place"), F.first("before").alias("before"), F.first("after").alias("after")
     )
@@ -203,20 +203,20 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("key")
     open_places = variants.join(shared, "key")
     wanted = open_places.groupBy("tid").agg(F.collect_list(F.struct("key", "place", "before", "after")).alias("places"))
-    extended = written(extensions(texts, wanted, window, gram), "extensions")
+    extended = written(extensions(texts, wanted, window, gram, size), "extensions")
     spot = F.xxhash64("tid", "lo")
     twice = extended.groupBy("key", "extension").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).filter("one <> other")
     ends = extended.join(twice.select("key", "extension"), ["key", "extension"]).select("tid", "lo", (F.col("lo") + window).alias("hi"))
     return whole.union(ends)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = PIECE) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, one row for each row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tid"))
     copies = texts.filter(F.octet_length("text") >= 2 * window - 1).groupBy("tid").count().filter("count > 1")
     everything = copies.select("tid", F.lit(0).alias("lo"), F.lit(-1).alias("hi"))  # -1: up to the end of the text
-    ranges = repeats(texts.select("tid", "text"), window, gram).union(everything)
+    ranges = repeats(texts.select("tid", "text"), window, gram, size).union(everything)
     by_text = written(ranges.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
     id_field = docs.select("doc_id").schema.fields[0].dataType.simpleString()
 
