@@ -1,20 +1,21 @@
 """Removes every word covered by a long run of words that also starts elsewhere: seed and extend.
 
-1. *Seeds.* Of every 28 neighbouring 8-word grams the one with the smallest hash is an anchor (winnowing). A window of 35 words holds
-   28 grams, so equal windows have an equal anchor at the same place, and about every fifteenth word is one.
-2. *Join.* Places that share an anchor's gram meet. A place is known by its gram and its context, the 27 words on either side (fewer
-   at the ends of a text). Grams with one place in the whole corpus are dropped; a context that stands at two places is a match
-   that extends over all of it, and its places are settled.
-3. *Extension.* Every other context of a shared gram, one witness of each settled one included, is extended both ways, word by word
-   from 27 left and none right to none left and 27 right. Extensions that two places share are repeats. They are counted as hashes,
-   combined before the shuffle, so a group of K places costs at most 28 K rows and no pairs.
+1. *Seeds.* Of the 28 grams of 8 words in a window of 35 the one with the smallest hash is the window's anchor (winnowing), so equal windows
+   have an equal anchor at the same place. An anchor stands for the windows that chose it, 28 neighbours at most; about every twelfth
+   word is one. Grams with one place in the whole corpus are dropped.
+2. *Join.* Places of an equal gram meet. Where all windows of an anchor, taken together, stand at two places, the match extends over all
+   of them, and these places are settled.
+3. *Extension.* The other places of a shared gram, and one witness of each settled stretch, are extended both ways: each window around the
+   anchor is one extension, from all the way to the left to all the way to the right. Extensions that two places share are repeats. They
+   are counted as hashes, combined before the shuffle; every window of the corpus belongs to one anchor, so a group of K places costs
+   28 K rows at most and no pairs.
 4. *Maximal repeats.* The overlapping extensions of a text are united; their words go.
 
 Texts that occur more than once are settled as a whole. Words are hashed by a published 64-bit hash and joined by a mixer; a gram and
-its context, or a gram and its extension, must both agree, so two different strings are taken for one with probability N^2 / 2^129
+its stretch, or a gram and its extension, must both agree, so two different strings are taken for one with probability N^2 / 2^129
 for N of them. Texts are known by 64 bits.
 
-Memory: words are hashed in pieces of a million bytes and seeded in overlapping pieces of 2^18 words; a task holds 8 bytes a word of
+Memory: words are hashed in pieces of a million bytes and seeded in pieces of 2^18 windows; a task holds 8 bytes a word of
 its current text beside that, whatever the text's length.
 
 Defined cases: null, empty and blank texts have no words; texts of fewer words than the window keep them all; repeated rows are repeats
@@ -90,57 +91,41 @@ def floor_power(n: int) -> int:
     return 1 << (n.bit_length() - 1)
 
 
-def smallest_of_windows(keys: np.ndarray, width: int) -> np.ndarray:
-    """Marks the places that hold the smallest key of some window of ``width`` places."""
-    low, step = keys, 1
+def chosen_grams(keys: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` grams the place of the smallest, leftmost of equals."""
+    low, step = U(0xFFFFFFFF), 1
+    best = (keys & ~low) | np.arange(len(keys), dtype=U)
     while step * 2 <= width:
-        low = np.minimum(low[:-step], low[step:])
+        best = np.minimum(best[:-step], best[step:])
         step *= 2
     if step < width:
-        low = np.minimum(low[:len(low) - (width - step)], low[width - step:])
-    high = np.concatenate([np.zeros(width - 1, U), low, np.zeros(width - 1, U)])  # largest of the minima around each place
-    step = 1
-    while step * 2 <= width:
-        high = np.maximum(high[:-step], high[step:])
-        step *= 2
-    if step < width:
-        high = np.maximum(high[:len(high) - (width - step)], high[width - step:])
-    return high == keys
+        best = np.minimum(best[:len(best) - (width - step)], best[width - step:])
+    return (best & low).astype(np.int64)
 
 
 def seeds(words: np.ndarray, window: int, gram: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram hash, context hash, place, words left, words right) of the anchors of one text, piece by piece."""
-    n, reach = len(words), window - gram
-    if n < window:
-        return
-    for lo in range(0, n, size):
-        hi, left = min(lo + size, n), max(0, lo - 2 * window)
-        piece = words[left:min(n, hi + 2 * window)]
-        if len(piece) < window:
-            continue
+    """(gram hash, hash of the stretch, first window, last window) of the anchors of one text, ``size`` windows at a time."""
+    for left in range(0, len(words) - window + 1, size):
+        piece = words[left:left + size + window - 1]
         runs = powers_of_two(piece, window)
-        width = floor_power(gram)
-        keys = run_of(runs, np.arange(len(piece) - gram + 1), gram, width)
-        at = np.flatnonzero(smallest_of_windows(keys, reach + 1))
-        at = at[(at + left >= lo) & (at + left < hi)]
-        before = np.minimum(at + left, reach)
-        after = np.minimum(n - (at + left) - gram, reach)
-        length = before + gram + after  # at least one window, and less than two
-        first, last = (run_of(runs, at + shift, window, floor_power(window)) for shift in (-before, gram + after - window))
-        context = joined(joined(first, last), (before << 32 | length).astype(U))
-        yield keys[at], context, at + left, before, after
+        keys = run_of(runs, np.arange(len(piece) - gram + 1), gram, floor_power(gram))
+        chosen = chosen_grams(keys, window - gram + 1)
+        lo = np.flatnonzero(np.diff(chosen, prepend=-1))
+        hi = np.append(lo[1:], len(chosen)) - 1
+        first, last = (run_of(runs, at, window, floor_power(window)) for at in (lo, hi))  # two windows cover the stretch
+        yield keys[chosen[lo]], joined(first, last) + (hi - lo).astype(U), lo + left, hi + left
 
 
 def anchors(texts: DataFrame, window: int, gram: int, size: int) -> DataFrame:
-    """(tid, key, context, place, before, after), once for each text and task."""
+    """(tid, key, stretch, lo, hi), once for each text and task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
-        names = ["tid", "key", "context", "place", "before", "after"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
         def packed(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)).cast(t) for c, t in zip(zip(*found), types)], names=names)
+            columns = [pa.array(np.concatenate(c).view(np.int64)).cast(t) for c, t in zip(zip(*found), types)]
+            return pa.RecordBatch.from_arrays(columns, names=["tid", "key", "stretch", "lo", "hi"])
 
         for batch in batches:
             found, held = [], 0
@@ -157,34 +142,32 @@ def anchors(texts: DataFrame, window: int, gram: int, size: int) -> DataFrame:
             if found:
                 yield packed(found)
 
-    return texts.mapInArrow(rows, "tid bigint, key bigint, context bigint, place int, before int, after int")
+    return texts.mapInArrow(rows, "tid bigint, key bigint, stretch bigint, lo int, hi int")
 
 
-def extensions(texts: DataFrame, wanted: DataFrame, window: int, gram: int, size: int) -> DataFrame:
-    """(key, extension, tid, lo): every window around the ``wanted`` places (tid, places: key, place, before, after)."""
+def extensions(texts: DataFrame, wanted: DataFrame, window: int, size: int) -> DataFrame:
+    """(key, extension, tid, lo): the windows of the ``wanted`` anchors (tid, places: key, lo, hi)."""
     step = max(1, size // (2 * window))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
-        width = floor_power(window)
         for batch in batches:
             for tid, text, places in zip(batch.column("tid").to_pylist(), batch.column("text"), batch.column("places")):
                 if tid in seen:
                     continue
                 seen.add(tid)
                 words = hashes_of(text.as_py(), known)
-                key, place, before, after = (places.values.field(c).to_numpy() for c in ("key", "place", "before", "after"))
-                for k in range(0, len(key), step):
-                    lo, length = (place - before)[k:k + step], (before + after)[k:k + step] + gram
+                for k in range(0, len(places.values), step):
+                    key, lo, hi = (places.values.field(c).to_numpy()[k:k + step].astype(np.int64) for c in ("key", "lo", "hi"))
+                    length, number = hi - lo + window, hi - lo + 1
                     starts = np.cumsum(length) - length
                     member = np.repeat(np.arange(len(lo)), length)
                     around = words[np.arange(len(member)) - starts[member] + lo[member]]
-                    number = length - window + 1
                     owner = np.repeat(np.arange(len(lo)), number)
                     shift = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-                    found = run_of(powers_of_two(around, window), starts[owner] + shift, window, width)
+                    found = run_of(powers_of_two(around, window), starts[owner] + shift, window, floor_power(window))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[k:k + step][owner]), pa.array(found.view(np.int64)), pa.array(np.full(len(owner), tid, np.int64)), pa.array((lo[owner] + shift).astype(np.int32))],
+                        [pa.array(key[owner]), pa.array(found.view(np.int64)), pa.array(np.full(len(owner), tid, np.int64)), pa.array((lo[owner] + shift).astype(np.int32))],
                         names=["key", "extension", "tid", "lo"],
                     )
 
@@ -192,22 +175,21 @@ def extensions(texts: DataFrame, wanted: DataFrame, window: int, gram: int, size
 
 
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = PIECE) -> DataFrame:
-    """(tid, lo, hi): word ranges of repeats, for ``texts`` (tid, text)."""
-    found = written(anchors(texts, window, gram, size), "anchors")
-    variants = found.groupBy("key", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.first("tid").alias("tid"), F.first("place").alias("place"), F.first("before").alias("before"), F.first("after").alias("after")
-    )
-    variants = written(variants, "contexts")
-    settled = found.join(variants.filter("n > 1").select("key", "context"), ["key", "context"])
-    whole = settled.select("tid", (F.col("place") - F.col("before")).alias("lo"), (F.col("place") + gram + F.col("after")).alias("hi"))
-    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("key")
-    open_places = variants.join(shared, "key")
-    wanted = open_places.groupBy("tid").agg(F.collect_list(F.struct("key", "place", "before", "after")).alias("places"))
-    extended = written(extensions(texts, wanted, window, gram, size), "extensions")
+    """(tid, lo, hi): first window and end of repeats, for ``texts`` (tid, text)."""
+    every = written(anchors(texts, window, gram, size), "anchors")
+    shared = written(every.groupBy("key").count().filter("count > 1").select("key"), "shared-grams")  # a table, so that Spark may split the join
+    found = written(every.join(shared, "key"), "shared-anchors")
+    one = [F.first(c).alias(c) for c in ("tid", "lo", "hi")]
+    stretches = written(found.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("n"), *one), "stretches")
+    settled = found.join(stretches.filter("n > 1").select("key", "stretch"), ["key", "stretch"])
+    open_keys = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    open_keys = written(open_keys, "open-grams")
+    places = stretches.join(open_keys, "key").groupBy("tid").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
+    extended = written(extensions(texts, places, window, size), "extensions")
     spot = F.xxhash64("tid", "lo")
     twice = extended.groupBy("key", "extension").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).filter("one <> other")
-    ends = extended.join(twice.select("key", "extension"), ["key", "extension"]).select("tid", "lo", (F.col("lo") + window).alias("hi"))
-    return whole.union(ends)
+    ends = extended.join(written(twice.select("key", "extension"), "repeats"), ["key", "extension"])
+    return settled.select("tid", "lo", (F.col("hi") + window).alias("hi")).union(ends.select("tid", "lo", (F.col("lo") + window).alias("hi")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = PIECE) -> DataFrame:
