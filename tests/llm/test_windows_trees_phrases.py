@@ -72,7 +72,8 @@ def test_long_texts_are_seeded_in_pieces(spark):
     assert [w for part in seed_extend.parts_of(texts[0].encode(), 64) for w in part] == texts[0].encode().split()
     hashes = seed_extend.hashes_of(texts[0], seed_extend.WordHashes())
     whole, pieces = ([np.concatenate(c) for c in zip(*seed_extend.seeds(hashes, 35, 8, size))] for size in (10_000, 100))
-    assert len(hashes) == 3000 and set(whole[2].tolist()) <= set(pieces[2].tolist())  # a piece's edges may add anchors, never lose one
+    for _, _, lo, hi in (whole, pieces):  # every window belongs to one anchor
+        assert sorted(i for a, b in zip(lo, hi) for i in range(a, b + 1)) == list(range(3000 - 34))
     assert windows(spark, texts, 35, 8, 100) == brute_windows(list(enumerate(texts)), 35)
 
 
@@ -208,20 +209,28 @@ def test_phrases_with_bursts_spills_and_cuts(spark):
     want = brute_phrases(rows, 25)
     assert rows_of(phrases.collocations(docs, 25)) == want
     small = phrases.Limits(burst=4, entries=60, words=12, bytes=50)  # long texts are cut, containers burst, all spill
-    runs = phrases.runs_of(docs.fillna("und", "lang"), small)
+    runs = phrases.runs_of(docs.fillna("und", "lang"), 1, small)
     assert runs.count() > 1.5 * runs.select("lang", "phrase").distinct().count()
     assert rows_of(phrases.collocations(docs, 25, small)) == want
 
 
 def test_tries_burst_and_spill_sorted():
-    counter = phrases.Counter(phrases.Limits(burst=3))
-    counter.count("en", b"a b c a b d a c e.a f")
+    everything = np.full(1 << phrases.FILTER - 6, -1).view(np.uint64)
+    counter = phrases.Counter(3, phrases.Limits(burst=3), everything)
+    counter.count("en", b"a b c a b d a c e.a f g a b c")
     trie = counter.tries["en"]
-    first = counter.numbers[b"a"]
-    assert isinstance(trie.root[first], phrases.Node) and sum(trie.sizes.values()) == counter.entries
+    assert isinstance(trie.root[counter.numbers[b"a"]], phrases.Node) and sum(trie.sizes.values()) == counter.entries
     (run,) = counter.spilled(True)
     rows = list(zip(*(c.to_pylist() for c in run.columns)))
-    assert rows == sorted(rows) and ("en", "a b", 2) in rows and ("en", "", 11) in rows and ("en", "e a", 1) not in rows and not counter.entries
+    assert rows == sorted(rows) and ("en", "a b c", 2) in rows and ("en", "c e a", 1) not in rows and not counter.entries
+
+
+def test_filter_drops_phrases_with_rare_parts(spark):
+    docs = spark.createDataFrame([("a b c. " * 10 + "a b d. e b c. b c a", "en")], "text string, lang string")
+    words = phrases.filter_of(spark.createDataFrame([("en", w) for w in "abc"], "lang string, phrase string"))
+    assert {r["phrase"]: r["f"] for r in phrases.runs_of(docs, 2, filter_bits=words).collect()} == {"a b": 11, "b c": 12, "c a": 1}
+    pairs = phrases.filter_of(spark.createDataFrame([("en", w) for w in ("a b", "b c")], "lang string, phrase string"))
+    assert {r["phrase"]: r["f"] for r in phrases.runs_of(docs, 3, filter_bits=pairs).collect()} == {"a b c": 10}
 
 
 def test_scores_beyond_64_bits(spark):
