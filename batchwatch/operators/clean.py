@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchwatch.config import DEFAULTS
-from batchwatch.functions import quantiles
+from batchwatch.functions import brackets, quantiles
 from batchwatch.functions.cells import (
     is_identifier,
     strip,
@@ -149,11 +149,15 @@ def quarantined(flagged: DataFrame, rules: Sequence[ColumnRule], keep: Sequence[
     return only_rows(flagged, F.col("is_quarantined"), [*dict.fromkeys([*keep, *names]), "issue_count"])
 
 
-def medians(rows: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = ()) -> DataFrame:
-    """keys, column_name, median of the accepted, masked numeric cells."""
+def medians(rows: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = (), bracketed: bool | None = None) -> DataFrame:
+    """keys, column_name, median of the accepted, masked numeric cells. Of a large input only the values around the middle are shuffled."""
     names = [r.name for r in rules if r.dtype in ("int", "float") and r.name in rows.columns]
     group = [*keys, "feature"]
-    hist = quantiles.value_histogram(quantiles.numeric_long(rows, names, keys), group)
+    long = quantiles.numeric_long(rows, names, keys)
+    if keys or not brackets.worthwhile(long, bracketed):
+        hist = quantiles.value_histogram(long, group)
+    else:
+        hist = brackets.bracketed_histogram(long, group, {"n": F.lit(1)}, {"n": (0.5,)})
     found = quantiles.exact_quantiles(hist, group, (0.5,), bounded=not keys)
     return found.select(*keys, F.col("feature").alias("column_name"), F.get("q", F.lit(0)).alias("median"))
 

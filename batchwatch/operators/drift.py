@@ -1,7 +1,8 @@
 """Distribution drift: PSI, two-sample KS, profile-based drift, concept drift and the drift run.
 
 The metrics work on a *side histogram*: one row per (run keys, feature, distinct value) with the number of
-reference and current occurrences. It is the only full shuffle; PSI, KS and the quantile cut points reuse it.
+reference and current occurrences. It is the only full shuffle; PSI, KS and the quantile cut points reuse it. With a number of
+bins it holds only the values that they look at (``functions/brackets.py``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchwatch.config import DEFAULTS
-from batchwatch.functions import ordering, quantiles, severity
+from batchwatch.functions import brackets, ordering, quantiles, severity
 from batchwatch.functions.cells import is_identifier, strip, to_number
 
 # Floor for an empty bin, column names tried first as the prediction target.
@@ -21,32 +22,38 @@ TARGET_PREFERENCE = ("target", "prediction", "loan_risk", "value", "y", "score")
 PREDICTION_FEATURE = "prediction_output"
 
 
+def histogram_of(long: DataFrame, keys: Sequence[str], bins: int | None, gap: bool, bracketed: bool | None) -> DataFrame:
+    counts = {"ref_n": F.col("_is_ref").cast("int"), "cur_n": (~F.col("_is_ref")).cast("int")}
+    if bins is None or keys or not brackets.worthwhile(long, bracketed):
+        return quantiles.value_histogram(long, [*keys, "feature"], counts)
+    ranks = {"ref_n": quantiles.linspace(bins)}
+    return brackets.bracketed_histogram(long, ["feature"], counts, ranks, ("ref_n", "cur_n") if gap else None)
+
+
 def labelled_histogram(
-    df: DataFrame, features: Sequence[str], is_reference: Column, keys: Sequence[str] = ()
+    df: DataFrame, features: Sequence[str], is_reference: Column, keys: Sequence[str] = (), bins: int | None = None, gap: bool = True,
+    bracketed: bool | None = None,
 ) -> DataFrame:
-    """Side histogram of one DataFrame whose rows are marked as reference or current (single scan).
+    """Side histogram of one DataFrame whose rows are marked as reference or current.
 
-    Identifier columns are left out here, by name, before any row is read.
+    Identifier columns are left out here, by name, before any row is read. Without ``bins`` every distinct value is a row. With
+    ``bins`` (and no ``keys``) a large input's values that neither PSI with that many bins nor KS looks at are merged, which shuffles a few
+    percent of them; ``gap=False`` leaves out those that only KS needs. ``bracketed`` overrules the estimate of the size.
     """
     features = [f for f in features if not is_identifier(f)]
     long = quantiles.numeric_long(df.withColumn("_is_ref", is_reference), features, [*keys, "_is_ref"])
-    return quantiles.value_histogram(
-        long, [*keys, "feature"], {"ref_n": F.col("_is_ref").cast("int"), "cur_n": (~F.col("_is_ref")).cast("int")}
-    )
+    return histogram_of(long, keys, bins, gap, bracketed)
 
 
 def side_histogram(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
+    reference: DataFrame, current: DataFrame, features: Sequence[str], keys: Sequence[str] = (), bins: int | None = None, gap: bool = True,
+    bracketed: bool | None = None,
 ) -> DataFrame:
-    """Side histogram of two DataFrames."""
+    """Side histogram of two DataFrames; the options as in :func:`labelled_histogram`."""
     features = [f for f in features if not is_identifier(f)]
     ref = quantiles.numeric_long(reference, features, keys).withColumn("_is_ref", F.lit(True))
     cur = quantiles.numeric_long(current, features, keys).withColumn("_is_ref", F.lit(False))
-    return quantiles.value_histogram(
-        ref.unionByName(cur),
-        [*keys, "feature"],
-        {"ref_n": F.col("_is_ref").cast("int"), "cur_n": (~F.col("_is_ref")).cast("int")},
-    )
+    return histogram_of(ref.unionByName(cur), keys, bins, gap, bracketed)
 
 
 def comparable_columns(hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -220,7 +227,7 @@ def concept_drift(
     number = lambda df, name: to_number(F.col(name), df.schema[name].dataType).alias(PREDICTION_FEATURE)
     ref = reference.select(*keys, number(reference, target))
     cur = predictions.select(*keys, number(predictions, prediction))
-    hist = side_histogram(ref, cur, [PREDICTION_FEATURE], keys)
+    hist = side_histogram(ref, cur, [PREDICTION_FEATURE], keys, bins=10)
     return data_drift(hist, keys).withColumn("type", F.lit("concept_drift"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchwatch.config import DEFAULTS
-from batchwatch.functions import quantiles
+from batchwatch.functions import brackets, quantiles
 from batchwatch.functions.cells import (
     INTEGER_PATTERN,
     is_identifier,
@@ -170,18 +170,23 @@ def cardinality(hist: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def profile_numeric(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), approximate: bool = False
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), approximate: bool = False, bracketed: bool | None = None
 ) -> DataFrame:
-    """min, max, mean, median, p01, p99 per numeric column; columns without a number are absent."""
+    """min, max, mean, median, p01, p99 per numeric column; columns without a number are absent. Of a large input only the values at the
+    wanted ranks are shuffled (``bracketed`` overrules the estimate of the size)."""
     group = [*keys, "feature"]
     long = quantiles.numeric_long(df, columns, keys)
     if approximate:
         spread = quantiles.approximate_quantiles(long, group, PROFILE_QUANTILES)
         means = long.groupBy(*group).agg(F.avg("value").alias("mean"))
     else:
-        hist = quantiles.value_histogram(long, group)
+        total = {"total": F.col("value")}
+        if keys or not brackets.worthwhile(long, bracketed):
+            hist = quantiles.value_histogram(long, group).withColumn("total", F.col("value") * F.col("n"))
+        else:
+            hist = brackets.bracketed_histogram(long, group, {"n": F.lit(1)}, {"n": PROFILE_QUANTILES}, sums=total)
         spread = quantiles.exact_quantiles(hist, group, PROFILE_QUANTILES, bounded=not keys)
-        means = hist.groupBy(*group).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+        means = hist.groupBy(*group).agg((F.sum("total") / F.sum("n")).alias("mean"))
     q = lambda i: F.get("q", F.lit(i))
     return spread.join(means, group).select(
         *keys, F.col("feature").alias("column_name"), F.col("n").alias("value_count"),

@@ -121,10 +121,26 @@ def unpack_details(findings: DataFrame) -> DataFrame:
     ).drop("_details")
 
 
+def with_unseen_rows(findings: DataFrame) -> DataFrame:
+    """Category findings with all their unseen values, where these are stored as rows of their own (kind ``unseen_value``, the value in
+    ``info``); a finding itself keeps the first ones only. The number of values is that of one enumerated column's of one run."""
+    if not {"check_type", "info", "unseen_values"} <= set(findings.columns):
+        return findings
+    own = F.col("check_type") == "unseen_value"
+    listed = findings.filter(own).groupBy("run_id", "column_name").agg(F.array_sort(F.collect_set("info")).alias("_listed"))
+    keyed = listed.select(F.col("run_id").alias("_run"), F.col("column_name").alias("_column"), F.lit("categorical").alias("_kind"), "_listed")
+    same = (
+        findings["run_id"].eqNullSafe(keyed["_run"]) & findings["column_name"].eqNullSafe(keyed["_column"])
+        & (findings["check_type"] == keyed["_kind"])
+    )
+    both = findings.filter(~own | F.col("check_type").isNull()).join(keyed, same, "left")
+    return both.withColumn("unseen_values", F.coalesce("_listed", "unseen_values")).drop("_run", "_column", "_kind", "_listed")
+
+
 def build_signals(quality: DataFrame, drift: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """Everything that went wrong in a run: failed checks, detected drift, and one signal each for all added and all
     missing columns. ``quality`` may be findings as stored."""
-    quality = unpack_details(quality)
+    quality = with_unseen_rows(unpack_details(quality))
     own = F.when(F.col("column_name").isNotNull(), F.array("column_name"))
     unseen = F.when(F.col("unseen").isNotNull(), F.array("unseen")) if "unseen" in quality.columns else F.lit(None).cast("array<string>")
     listed = F.coalesce(F.col("unseen_values"), unseen) if "unseen_values" in quality.columns else unseen

@@ -60,8 +60,9 @@ def rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in wanted})
 
 
-def _hist(spark, sf_dir, features=FEATURES):
-    return drift.labelled_histogram(view(spark, sf_dir, "lineitem_split"), features, F.col("is_reference"))
+def _hist(spark, sf_dir, features=FEATURES, bins=10, gap=True, bracketed=None):
+    rows = view(spark, sf_dir, "lineitem_split")
+    return drift.labelled_histogram(rows, features, F.col("is_reference"), bins=bins, gap=gap, bracketed=bracketed)
 
 
 @query("drift_columns", with_views(" UNION ALL ".join(
@@ -73,7 +74,13 @@ def drift_columns(spark, sf_dir):
 
 @query("psi", with_views(f"SELECT feature, round(psi_score, 6) AS psi_score FROM ({_PSI})"))
 def psi(spark, sf_dir):
-    return rounded(drift.psi(_hist(spark, sf_dir)).select("feature", "psi_score"))
+    return rounded(drift.psi(_hist(spark, sf_dir, gap=False)).select("feature", "psi_score"))
+
+
+@query("psi_bracketed", with_views(f"SELECT feature, ref_n, cur_n, round(psi_score, 6) AS psi_score FROM ({_PSI}) JOIN (SELECT feature, ref_n, cur_n FROM ({_KS})) USING (feature)"))
+def psi_bracketed(spark, sf_dir):
+    """PSI as for a large input: only the values around the reference's cut points are shuffled."""
+    return rounded(drift.psi(_hist(spark, sf_dir, gap=False, bracketed=True)).select("feature", "ref_n", "cur_n", "psi_score"))
 
 
 @query("ks_statistic", with_views(f"SELECT feature, ref_n, cur_n, round(ks_score, 6) AS ks_score FROM ({_KS})"))
@@ -94,6 +101,12 @@ def data_drift(spark, sf_dir):
     return rounded(drift.data_drift(_hist(spark, sf_dir)).select(*drift.finding_columns()))
 
 
+@query("data_drift_bracketed", with_views(scored_sql(_DATA, "data_drift")))
+def data_drift_bracketed(spark, sf_dir):
+    """PSI and KS as for a large input."""
+    return rounded(drift.data_drift(_hist(spark, sf_dir, bracketed=True)).select(*drift.finding_columns()))
+
+
 @query("data_drift_by_run", with_views("""WITH h AS (SELECT l_linenumber, l_quantity AS v, count(*) FILTER (is_reference) AS r, count(*) FILTER (NOT is_reference) AS c
     FROM lineitem_split GROUP BY ALL),
   run AS (SELECT l_linenumber, sum(r) OVER w AS ur, sum(c) OVER w AS uc, sum(r) OVER t AS nr, sum(c) OVER t AS nc FROM h

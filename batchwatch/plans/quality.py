@@ -238,13 +238,30 @@ def _numeric_sql(c: str) -> str:
 _ROUNDED = ("median", "p01", "p99")
 
 
-@query("profile_numeric", "SELECT column_name, value_count, min, max, mean, round(median, 6) AS median, round(p01, 6) AS p01, round(p99, 6) AS p99 FROM ("
+_PROFILE_SQL = ("SELECT column_name, value_count, min, max, mean, round(median, 6) AS median, round(p01, 6) AS p01, round(p99, 6) AS p99 FROM ("
        + " UNION ALL ".join(_numeric_sql(c) for c in NUMERIC) + ")")
+
+
+@query("profile_numeric", _PROFILE_SQL)
 def profile_numeric(spark, sf_dir):
     found = profile.profile_numeric(base(spark, sf_dir, "lineitem"), NUMERIC)
     return found.withColumn("mean", F.round("mean", 4)).withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 
+@query("profile_numeric_bracketed", _PROFILE_SQL)
+def profile_numeric_bracketed(spark, sf_dir):
+    """The profile as for a large input: only the values at the wanted ranks are shuffled."""
+    found = profile.profile_numeric(base(spark, sf_dir, "lineitem"), NUMERIC, bracketed=True)
+    return found.withColumn("mean", F.round("mean", 4)).withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
+@query("batch_medians", checked(f"""WITH {FLAGGED.strip()} SELECT 'quantity' AS column_name, quantile_cont(quantity, 0.5) AS median FROM kept
+  UNION ALL SELECT 'discount', quantile_cont(discount, 0.5) FROM kept"""))
+def batch_medians(spark, sf_dir):
+    """Medians of the accepted cells, as for a large batch."""
+    return clean.medians(clean.accepted(flagged(spark, sf_dir)), rules(spark, sf_dir), bracketed=True)
+
+
 @query("profile_numeric_by_run", """SELECT l_suppkey, 'l_quantity' AS column_name, count(l_quantity) AS value_count, min(l_quantity) AS min,
   max(l_quantity) AS max, round(avg(l_quantity), 4) AS mean, round(quantile_cont(l_quantity, 0.5), 6) AS median,
   round(quantile_cont(l_quantity, 0.01), 6) AS p01, round(quantile_cont(l_quantity, 0.99), 6) AS p99 FROM lineitem GROUP BY l_suppkey""")

@@ -99,7 +99,7 @@ def stratified_split(spark, sf_dir):
 
 @query("feature_pipeline", with_views("""WITH s AS (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS sd FROM training_rows),
   lv AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS p FROM training_rows GROUP BY lang), nl AS (SELECT count(*) AS n FROM lv)
-  SELECT doc_id, round((n_chars - m) / sd, 6) AS scaled, lv.p AS lang_slot, nl.n + 1 AS lang_slots FROM training_rows t JOIN lv ON t.lang = lv.lang, s, nl"""))
+  SELECT doc_id, round((n_chars - m) / sd, 6) AS scaled, lv.p AS lang_slot, nl.n AS lang_slots FROM training_rows t JOIN lv ON t.lang = lv.lang, s, nl"""))
 def feature_pipeline(spark, sf_dir):
     """Standardised length and one-hot language of every training row."""
     rows = view(spark, sf_dir, "training_rows")

@@ -52,7 +52,7 @@ def load_batch(
         return reader.csv(path).select(*names)
     if kind == ".parquet":
         return nan_to_null(spark.read.parquet(path))
-    return nan_to_null(spark.read.json(path, multiLine=is_json_array(spark, path)))
+    return load_json(spark, path)
 
 
 def unfitting_records(spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
@@ -63,10 +63,29 @@ def unfitting_records(spark: SparkSession, path: str, columns: Sequence[str] | N
     return seen.filter(F.col(CORRUPT_COLUMN).isNotNull() & F.col("_cells").isNotNull()).select(CORRUPT_COLUMN, *names)
 
 
-def is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first file begins with an array; only its first lines are read."""
-    first = spark.read.text(path).filter(F.trim("value") != "").select(F.ltrim("value").alias("value")).first()
-    return first is not None and first["value"].startswith("[")
+def json_array_files(spark: SparkSession, path: str) -> dict[str, bool]:
+    """For each file whether it holds one array (its first line that is not blank begins with a bracket). Only the first block of a
+    file counts; one row for each file comes back."""
+    lines = spark.read.text(path).select(
+        F.ltrim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.filter("block = 0 AND value <> ''").groupBy("file").agg(F.min_by(F.substring("value", 1, 1), "place").alias("head"))
+    return {r["file"]: r["head"] == "[" for r in first.collect()}
+
+
+def load_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files, each of them lines of records or one array of records."""
+    is_array = json_array_files(spark, path)
+    parts = []
+    for arrays in (True, False):
+        files = sorted(f for f, found in is_array.items() if found == arrays)
+        if files:
+            parts.append(spark.read.json(files, multiLine=arrays))
+    if not parts:
+        return spark.read.json(path)
+    merged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return nan_to_null(merged.select(*sorted(merged.columns)))
 
 
 def load_json_array(spark: SparkSession, path: str) -> DataFrame:
