@@ -40,7 +40,7 @@ def worthwhile(df: DataFrame, bracketed: bool | None = None) -> bool:
 
 def cells_of(long: DataFrame, group: Sequence[str], value: str, cells: int) -> DataFrame:
     """Rows with ``_cell``, the number of cuts at or below their value."""
-    cuts = F.broadcast(ordering.cut_points(long.filter(F.col(value).isNotNull()), group, value, cells))
+    cuts = F.broadcast(ordering.cut_points(long.filter(F.col(value).isNotNull()), group, value, cells).drop("_rows"))
     return ordering.count_at_or_below(long.join(cuts, list(group)), "_cuts", value, cells, "_cell").drop("_cuts")
 
 

@@ -12,8 +12,9 @@ carried forward:
 4. window inside (keys, bucket), plus the offset.
 
 ``bounded=True`` says the number of key groups is limited by metadata (one group per column): the
-per-group helper tables are then at most (columns x buckets) rows and are broadcast. Otherwise no hint is
-given and Spark chooses from the measured sizes at run time.
+per-group helper tables are then at most (columns x buckets) rows and are broadcast. Otherwise rows meet their group's cut points in
+:func:`join_groups`: fewer than ``HEAVY`` groups can hold more than 1 / ``HEAVY`` of all rows each, so the cut points of these are
+broadcast and their rows stay where they are; the rest is shuffled, with no group above that share.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 1024
+#: Groups with more than this fraction of all rows (its inverse) are heavy.
+HEAVY = 1000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -38,6 +41,20 @@ def hint(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
 
+def join_groups(rows: DataFrame, table: DataFrame, keys: Sequence[str], sizes: str, how: str = "inner") -> DataFrame:
+    """Rows with their group's row of ``table``, which has one row for each group and the number of its rows in ``sizes`` (dropped).
+
+    A group of any size is spread: heavy groups are joined by a broadcast of fewer than ``HEAVY`` rows, the others by a shuffle.
+    ``how="left"`` keeps rows of groups that the table lacks."""
+    total = table.agg(F.sum(sizes)).scalar()
+    is_heavy = F.col(sizes) * HEAVY > total
+    heavy = F.broadcast(table.filter(is_heavy).drop(sizes))
+    light = table.filter(~is_heavy | F.col(sizes).isNull()).drop(sizes)
+    few = rows.join(heavy.select(*keys), list(keys), "left_anti").join(light, list(keys), how)
+    many = rows.join(heavy, list(keys))
+    return few.select(*many.columns).union(many)
+
+
 def count_at_or_below(df: DataFrame, cuts: str, value: str, longest: int, out: str) -> DataFrame:
     """Add how many entries of the sorted array ``cuts`` are <= ``value``: a binary search in
     log2(longest) generated-code steps, instead of visiting every entry."""
@@ -53,13 +70,13 @@ def count_at_or_below(df: DataFrame, cuts: str, value: str, longest: int, out: s
 def cut_points(
     rows: DataFrame, keys: Sequence[str], value: str, buckets: int, totals: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per group: sorted cut points, and the group total of every column in ``totals``."""
+    """One row per group: sorted cut points, number of rows, and the group total of every column in ``totals``."""
     digest = F.xxhash64(value)
     sampled = rows.groupBy(*keys, F.pmod(digest, F.lit(buckets)).alias("_class")).agg(
-        F.min_by(value, digest).alias("_cut"), *[F.sum(t).alias(f"_all_{t}") for t in totals]
+        F.min_by(value, digest).alias("_cut"), F.count(F.lit(1)).alias("_rows"), *[F.sum(t).alias(f"_all_{t}") for t in totals]
     )
     cuts = sampled.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("_cut")).alias("_cuts"),
+        F.array_sort(F.collect_list("_cut")).alias("_cuts"), F.sum("_rows").alias("_rows"),
         *[F.sum(f"_all_{t}").alias(f"_all_{t}") for t in totals],
     )
     for t in totals:  # stated here so that every use of the cuts is the same plan and runs once
@@ -77,8 +94,9 @@ def with_bucket(
 ) -> DataFrame:
     """Add ``_bucket`` (order-preserving) and ``_all_<t>`` group totals to every row."""
     buckets = buckets or default_buckets(rows)
-    cuts = hint(cut_points(rows, keys, value, buckets, totals), bounded)
-    return count_at_or_below(rows.join(cuts, list(keys)), "_cuts", value, buckets, "_bucket").drop("_cuts")
+    cuts = cut_points(rows, keys, value, buckets, totals)
+    joined = rows.join(F.broadcast(cuts.drop("_rows")), list(keys)) if bounded else join_groups(rows, cuts, keys, "_rows")
+    return count_at_or_below(joined, "_cuts", value, buckets, "_bucket").drop("_cuts")
 
 
 def bucket_offsets(bucketed: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:

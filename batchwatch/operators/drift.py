@@ -93,9 +93,12 @@ def psi_from_cuts(hist: DataFrame, cuts: DataFrame, keys: Sequence[str], bins: i
     passed = [c for c in cuts.columns if c not in {*group, "q"}]
     # Bin 1 starts at the first cut point; the last bin includes its upper end; 0 is "no bin".
     points = cuts.withColumn("_bp", F.array_distinct("q")).drop("q")
-    placed = ordering.count_at_or_below(
-        hist.join(ordering.hint(points, not keys), group), "_bp", "value", bins + 1, "_pos"
-    )
+    if keys:
+        sizes = hist.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+        joined = ordering.join_groups(hist, points.join(sizes, group), group, "_rows")
+    else:
+        joined = hist.join(F.broadcast(points), group)
+    placed = ordering.count_at_or_below(joined, "_bp", "value", bins + 1, "_pos")
     bin_of = F.when(F.col("value") > F.element_at("_bp", -1), 0).otherwise(F.least("_pos", F.size("_bp") - 1))
     # Bin counts first, so that the per-feature step sees at most bins + 1 rows per feature.
     counted = (

@@ -19,6 +19,8 @@ from batchwatch.operators import profile
 SPARK_TYPES = {"int": "bigint", "float": "double", "bool": "boolean", "datetime": "timestamp_ntz", "object": "string"}
 MISSING_WEIGHT = 2.0
 EXTRA_WEIGHT = 0.25
+#: Columns that more contract sets than this have are common: contracts are told apart by their other columns.
+COMMON = 64
 
 
 def empty_list() -> Column:
@@ -51,14 +53,14 @@ def schema_diff(batch_columns: DataFrame, runs: DataFrame, contracts: DataFrame)
     ).withColumn("schema_changed", (F.size("extra_columns") > 0) | (F.size("missing_columns") > 0))
 
 
-def match_model(batch_columns: DataFrame, contracts: DataFrame) -> DataFrame:
+def match_model(batch_columns: DataFrame, contracts: DataFrame, common: int = COMMON) -> DataFrame:
     """Find the model whose active contract fits a batch best, ignoring case.
 
     score = overlap - 2 * missing - 0.25 * extra. Equal column sets behave alike, so both sides are reduced to
     distinct sets first. A set that equals a contract's set scores its own size, which nothing else can reach, so
-    it is settled by an equality join; only the remaining sets are compared column by column. Contracts that share
-    no column can still score higher (few columns), which means "no match"; they are covered by counting contracts
-    per size.
+    it is settled by an equality join; the remaining sets meet the contracts that share a rare column with them, and classes of
+    contracts by their common columns. Contracts that share no column can still score higher (few columns), which means "no match";
+    they are covered by counting contracts per size.
     """
     lowered = lambda df: df.withColumn("column_name", F.lower("column_name"))
     runs = column_lists(lowered(batch_columns), "run_id", "column_set")
@@ -72,7 +74,7 @@ def match_model(batch_columns: DataFrame, contracts: DataFrame) -> DataFrame:
         "column_set", size.cast("double").alias("score"), F.col("model_count").alias("top_models"), "model_id",
         size.alias("matched_columns"), F.lit(None).cast("double").alias("rival"),
     )
-    inexact = _closest_contracts(batch_sets.join(contract_sets, "column_set", "left_anti"), contract_sets)
+    inexact = _closest_contracts(batch_sets.join(contract_sets, "column_set", "left_anti"), contract_sets, common)
     best, rival = F.col("score"), F.col("rival")
     no_match = best.isNull() | F.coalesce(rival > best, F.lit(False))
     tie = (F.col("top_models") > 1) | F.coalesce(rival == best, F.lit(False))
@@ -86,43 +88,81 @@ def match_model(batch_columns: DataFrame, contracts: DataFrame) -> DataFrame:
     )
 
 
-def _closest_contracts(batch_sets: DataFrame, contract_sets: DataFrame) -> DataFrame:
-    """Best overlapping contract per batch set, and the best score of a contract without overlap (``rival``)."""
-    offered = contract_sets.select(
-        F.explode("column_set").alias("column_name"), F.col("column_set").alias("contract_set"), "model_count", "model_id"
+def contract_index(contract_sets: DataFrame, common: int = COMMON) -> DataFrame:
+    """``contract_sets`` with the columns that more than ``common`` of them have (``pattern``), the other ones (``rare``) and ``size``."""
+    frequent = contract_sets.select(F.explode("column_set").alias("c")).groupBy("c").count().filter(F.col("count") > common)
+    names = frequent.agg(F.array_sort(F.collect_list("c"))).scalar()  # at most (sum of contract widths) / common names
+    split = contract_sets.withColumn("_common", F.coalesce(names, empty_list()))
+    return split.select(
+        "*", F.array_intersect("column_set", "_common").alias("pattern"), F.array_except("column_set", "_common").alias("rare"),
+        F.size("column_set").alias("size"),
     )
-    overlap = (
-        batch_sets.select("column_set", F.explode("column_set").alias("column_name"))
-        .join(offered, "column_name")
-        .groupBy("column_set", "contract_set", "model_count", "model_id")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+
+
+def rare_pairs(batch_sets: DataFrame, index: DataFrame) -> DataFrame:
+    """(column_set, contract_set, ...): batch and contract sets that share a rare column, once each. A rare column leads to ``common``
+    contracts at most, so their number grows with the widths of the batch sets alone."""
+    offered = index.select(
+        F.explode("rare").alias("_c"), F.col("column_set").alias("contract_set"), F.col("pattern").alias("contract_pattern"), "size", "model_count", "model_id"
+    )
+    asked = batch_sets.select("column_set", "pattern", F.explode("column_set").alias("_c"))
+    return asked.join(offered, "_c").drop("_c").distinct()
+
+
+def pattern_pairs(batch_sets: DataFrame, index: DataFrame) -> DataFrame:
+    """(pattern, contract_pattern, size, models, model_id, n): classes of contracts by common columns and size, each next to the distinct
+    patterns of the batches that it shares ``n`` columns with."""
+    classes = index.groupBy(F.col("pattern").alias("contract_pattern"), "size").agg(F.sum("model_count").alias("models"), F.min("model_id").alias("model_id"))
+    asked = batch_sets.select("pattern").distinct().select("pattern", F.explode("pattern").alias("_c"))
+    return (
+        asked.join(classes.select("*", F.explode("contract_pattern").alias("_c")), "_c")
+        .groupBy("pattern", "contract_pattern", "size", "models", "model_id").agg(F.count(F.lit(1)).alias("n"))
     )
-    n, wanted = F.col("overlap"), F.size("contract_set")
-    score = n - MISSING_WEIGHT * (wanted - n) - EXTRA_WEIGHT * (F.size("column_set") - n)
-    by_score = overlap.groupBy("column_set", score.alias("score")).agg(
-        F.sum("model_count").alias("top_models"), F.min("model_id").alias("model_id"),
-        F.max("overlap").cast("int").alias("matched_columns"),
+
+
+def _closest_contracts(batch_sets: DataFrame, contract_sets: DataFrame, common: int = COMMON) -> DataFrame:
+    """Best overlapping contract per batch set, and the best score of a contract without overlap (``rival``).
+
+    Contracts that share a rare column with the batch are met one by one. All others overlap in common columns alone, so their score follows
+    from their class (common columns and size); for a contract of that class with a rare overlap it is too low, and then it is not the
+    best, as the same contract scores higher by itself. So the higher of both, and how many contracts have it, are exact.
+    """
+    index = contract_index(contract_sets, common)
+    names = index.select(F.explode("pattern").alias("c")).agg(F.collect_set("c")).scalar()
+    batches = batch_sets.withColumn("pattern", F.sort_array(F.array_intersect("column_set", F.coalesce(names, empty_list()))))
+    gain = lambda n, size: n * (1 + MISSING_WEIGHT + EXTRA_WEIGHT) - MISSING_WEIGHT * size  # the score without the batch's own width
+    pairs = rare_pairs(batches, index).withColumn("n", F.size(F.array_intersect("column_set", "contract_set")))
+    alone = pairs.groupBy("column_set", gain(F.col("n"), F.col("size")).alias("gain")).agg(
+        F.sum("model_count").alias("top_models"), F.min("model_id").alias("model_id"), F.max("n").cast("int").alias("matched_columns")
     )
-    best = by_score.groupBy("column_set").agg(
-        F.max_by(F.struct("score", "top_models", "model_id", "matched_columns"), "score").alias("best")
+    classes = pattern_pairs(batches, index)
+    by_pattern = classes.groupBy("pattern", gain(F.col("n"), F.col("size")).alias("gain")).agg(
+        F.sum("models").alias("top_models"), F.min("model_id").alias("model_id"), F.max("n").cast("int").alias("matched_columns")
     )
-    touched = (
-        overlap.groupBy("column_set", wanted.alias("size"))
-        .agg(F.sum("model_count").alias("n"))
-        .groupBy("column_set")
-        .agg(F.map_from_entries(F.collect_list(F.struct("size", "n"))).alias("touched"))
+    best_class = by_pattern.groupBy("pattern").agg(F.max_by(F.struct("gain", "top_models", "model_id", "matched_columns"), "gain").alias("_b"))
+    in_class = batches.join(best_class, "pattern").select("column_set", "_b.*")
+    best = (
+        alone.unionByName(in_class).groupBy("column_set", "gain")
+        .agg(F.sum("top_models").alias("top_models"), F.min("model_id").alias("model_id"), F.max("matched_columns").alias("matched_columns"))
+        .groupBy("column_set").agg(F.max_by(F.struct("gain", "top_models", "model_id", "matched_columns"), "gain").alias("best"))
     )
-    sizes = contract_sets.groupBy(F.size("column_set").alias("size")).agg(F.sum("model_count").alias("n"))
-    totals = sizes.agg(F.map_from_entries(F.collect_list(F.struct("size", "n")))).scalar()
-    free = lambda width, count: count > F.coalesce(F.try_element_at("touched", width), F.lit(0))
+    as_map = lambda df, key: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("size", "n"))).alias("m"))
+    met_by_class = as_map(classes.groupBy("pattern", "size").agg(F.sum("models").alias("n")), "pattern")
+    no_common = F.size(F.array_intersect("pattern", "contract_pattern")) == 0
+    met_alone = as_map(pairs.filter(no_common).groupBy("column_set", "size").agg(F.sum("model_count").alias("n")), "column_set")
+    totals = index.groupBy("size").agg(F.sum("model_count").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("size", "n")))).scalar()
+    met = lambda name, width: F.coalesce(F.try_element_at(name, width), F.lit(0))
+    free = lambda width, count: count > met("_class", width) + met("_alone", width)
+    width = EXTRA_WEIGHT * F.size("column_set")
     return (
-        batch_sets.join(best, "column_set", "left")
-        .join(touched, "column_set", "left")
+        batches.join(best, "column_set", "left")
+        .join(met_by_class.withColumnRenamed("m", "_class"), "pattern", "left")
+        .join(met_alone.withColumnRenamed("m", "_alone"), "column_set", "left")
         .withColumn("totals", totals)
         .withColumn("smallest", F.array_min(F.map_keys(F.map_filter("totals", free))))
         .select(
-            "column_set", "best.*",
-            (-MISSING_WEIGHT * F.col("smallest") - EXTRA_WEIGHT * F.size("column_set")).alias("rival"),
+            "column_set", (F.col("best.gain") - width).alias("score"), "best.top_models", "best.model_id", "best.matched_columns",
+            (-MISSING_WEIGHT * F.col("smallest") - width).alias("rival"),
         )
     )
 

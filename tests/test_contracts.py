@@ -1,5 +1,7 @@
 """Gate, type checks, schema matching, candidates, versions and policy."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,37 @@ def test_match_model(spark, columns, want):
     assert match(spark, columns, CONTRACTS) == want
 
 
+@pytest.mark.parametrize("common", [0, 2, 64])
+def test_match_model_against_all_pairs(spark, common):
+    """Random sets over a few common and many rare columns, whatever counts as common."""
+    rng = random.Random(11)
+    names = [f"c{i}" for i in range(6)] + [f"r{i}" for i in range(60)]
+    draw = lambda: frozenset(rng.sample(names[:6], rng.randrange(0, 5)) + rng.sample(names[6:], rng.randrange(0, 3))) or frozenset(["c0"])
+    contracts, batches = {i: draw() for i in range(120)}, {i: draw() for i in range(150)}
+    rows = lambda sets, key: spark.createDataFrame([(k, c) for k, s in sets.items() for c in s], f"{key} int, column_name string")
+    found = {r["run_id"]: tuple(r)[1:] for r in schema.match_model(rows(batches, "run_id"), rows(contracts, "model_id"), common).collect()}
+    for run, have in batches.items():
+        scores = {m: len(have & want) - 2.0 * len(want - have) - 0.25 * len(have - want) for m, want in contracts.items()}
+        best = max((s for m, s in scores.items() if have & contracts[m]), default=None)
+        top = [m for m, s in scores.items() if s == best] if best is not None else []
+        if best is None or max(scores.values()) > best:
+            assert found[run] == ("no_match", None, None, None)
+        else:
+            n = max(len(have & contracts[m]) for m in top if have & contracts[m])
+            assert found[run] == ("matched" if len(top) == 1 else "ambiguous", top[0] if len(top) == 1 else None, best, n)
+
+
+def test_a_column_of_all_contracts_makes_no_pairs(spark):
+    """Every set holds ``id``: candidates grow with the sets, not with their product."""
+    sets = lambda n, tag: spark.range(n).select(F.array(F.lit("id"), F.concat(F.lit(tag), (F.col("id") / 2).cast("int").cast("string"))).alias("column_set"), F.col("id").alias("model_id"), F.lit(1).alias("model_count"))
+    for n in (200, 400):
+        contracts = sets(n, "x").dropDuplicates(["column_set"])
+        index = schema.contract_index(contracts)
+        batches = sets(n, "x").select(F.array_append("column_set", F.lit("more")).alias("column_set")).distinct().withColumn("pattern", F.array(F.lit("id")))
+        assert schema.rare_pairs(batches, index).count() == n / 2 and schema.pattern_pairs(batches, index).count() == 1
+
+
+
 @pytest.mark.parametrize("rows,distinct,want", [
     (49, 49, "categorical_feature"), (50, 50, "high_cardinality_text"), (1000, 199, "categorical_feature"),
     (1000, 200, "high_cardinality_text"), (50, 9, "categorical_feature"), (50, 10, "high_cardinality_text")])
