@@ -88,12 +88,15 @@ def match_model(batch_columns: DataFrame, contracts: DataFrame, common: int = CO
     )
 
 
-def contract_index(contract_sets: DataFrame, common: int = COMMON) -> DataFrame:
-    """``contract_sets`` with the columns that more than ``common`` of them have (``pattern``), the other ones (``rare``) and ``size``."""
+def common_columns(contract_sets: DataFrame, common: int) -> Column:
+    """Names that more than ``common`` contract sets have; at most (sum of their widths) / ``common``."""
     frequent = contract_sets.select(F.explode("column_set").alias("c")).groupBy("c").count().filter(F.col("count") > common)
-    names = frequent.agg(F.array_sort(F.collect_list("c"))).scalar()  # at most (sum of contract widths) / common names
-    split = contract_sets.withColumn("_common", F.coalesce(names, empty_list()))
-    return split.select(
+    return F.coalesce(frequent.agg(F.sort_array(F.collect_list("c"))).scalar(), empty_list())
+
+
+def contract_index(contract_sets: DataFrame, names: Column) -> DataFrame:
+    """``contract_sets`` with their common columns (``pattern``), the other ones (``rare``) and ``size``."""
+    return contract_sets.withColumn("_common", names).select(
         "*", F.array_intersect("column_set", "_common").alias("pattern"), F.array_except("column_set", "_common").alias("rare"),
         F.size("column_set").alias("size"),
     )
@@ -127,9 +130,9 @@ def _closest_contracts(batch_sets: DataFrame, contract_sets: DataFrame, common:
     from their class (common columns and size); for a contract of that class with a rare overlap it is too low, and then it is not the
     best, as the same contract scores higher by itself. So the higher of both, and how many contracts have it, are exact.
     """
-    index = contract_index(contract_sets, common)
-    names = index.select(F.explode("pattern").alias("c")).agg(F.collect_set("c")).scalar()
-    batches = batch_sets.withColumn("pattern", F.sort_array(F.array_intersect("column_set", F.coalesce(names, empty_list()))))
+    names = common_columns(contract_sets, common)
+    index = contract_index(contract_sets, names)
+    batches = batch_sets.withColumn("pattern", F.sort_array(F.array_intersect("column_set", names)))
     gain = lambda n, size: n * (1 + MISSING_WEIGHT + EXTRA_WEIGHT) - MISSING_WEIGHT * size  # the score without the batch's own width
     pairs = rare_pairs(batches, index).withColumn("n", F.size(F.array_intersect("column_set", "contract_set")))
     alone = pairs.groupBy("column_set", gain(F.col("n"), F.col("size")).alias("gain")).agg(
@@ -150,7 +153,7 @@ def _closest_contracts(batch_sets: DataFrame, contract_sets: DataFrame, common:
     met_by_class = as_map(classes.groupBy("pattern", "size").agg(F.sum("models").alias("n")), "pattern")
     no_common = F.size(F.array_intersect("pattern", "contract_pattern")) == 0
     met_alone = as_map(pairs.filter(no_common).groupBy("column_set", "size").agg(F.sum("model_count").alias("n")), "column_set")
-    totals = index.groupBy("size").agg(F.sum("model_count").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("size", "n")))).scalar()
+    totals = contract_sets.groupBy(F.size("column_set").alias("size")).agg(F.sum("model_count").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("size", "n")))).scalar()
     met = lambda name, width: F.coalesce(F.try_element_at(name, width), F.lit(0))
     free = lambda width, count: count > met("_class", width) + met("_alone", width)
     width = EXTRA_WEIGHT * F.size("column_set")

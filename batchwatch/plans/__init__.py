@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "drift", "contracts", "monitoring", "incidents", "storage", "streams", "retraining")
+MODULES = ("quality", "many", "drift", "contracts", "monitoring", "incidents", "storage", "streams", "retraining")
 
 
 def load_all():

@@ -81,7 +81,7 @@ def test_a_column_of_all_contracts_makes_no_pairs(spark):
     sets = lambda n, tag: spark.range(n).select(F.array(F.lit("id"), F.concat(F.lit(tag), (F.col("id") / 2).cast("int").cast("string"))).alias("column_set"), F.col("id").alias("model_id"), F.lit(1).alias("model_count"))
     for n in (200, 400):
         contracts = sets(n, "x").dropDuplicates(["column_set"])
-        index = schema.contract_index(contracts)
+        index = schema.contract_index(contracts, schema.common_columns(contracts, 64))
         batches = sets(n, "x").select(F.array_append("column_set", F.lit("more")).alias("column_set")).distinct().withColumn("pattern", F.array(F.lit("id")))
         assert schema.rare_pairs(batches, index).count() == n / 2 and schema.pattern_pairs(batches, index).count() == 1
 
