@@ -180,28 +180,20 @@ def check_schema_types(df: DataFrame, rules: Sequence[ColumnRule], keys: Sequenc
 
 def all_checks(df: DataFrame, rules: Sequence[ColumnRule], keys: Sequence[str] = (), bounds="percentile") -> DataFrame:
     """Null, range and category checks as one table: keys, column_name, check_type, success, info, details (JSON)."""
-    nulls = check_null_ratio(df, rules, keys)
-    ranges = check_range(df, rules, keys, bounds)
-    categories = check_categorical(df, rules, keys)
     base = [*keys, "column_name", "check_type", "success"]
     detail = lambda d: F.to_json(F.struct(*[c for c in d.columns if c not in base]))
-    return (
-        nulls.select(*base, F.format_string("%.2f (threshold=%s)", "ratio", "threshold").alias("info"),
-                     detail(nulls).alias("details"))
-        .unionByName(
-            ranges.select(
-                *base,
-                F.format_string("%s-%s vs %s-%s", "observed_min", "observed_max", "baseline_min", "baseline_max")
-                .alias("info"), detail(ranges).alias("details"),
-            )
-        )
-        .unionByName(
-            categories.select(
-                *base, F.concat(F.lit("unseen=["), F.array_join("unseen_sample", ", "), F.lit("]")).alias("info"),
-                detail(categories).alias("details"),
-            )
-        )
-    )
+    nulls = check_null_ratio(df, rules, keys)
+    share = F.format_string("%.2f (threshold=%s)", "ratio", "threshold")
+    out = nulls.select(*base, share.alias("info"), detail(nulls).alias("details"))
+    if any(r.name in df.columns and not r.name.startswith("_") and r.bounds(bounds) for r in rules):
+        ranges = check_range(df, rules, keys, bounds)
+        span = F.format_string("%s-%s vs %s-%s", "observed_min", "observed_max", "baseline_min", "baseline_max")
+        out = out.unionByName(ranges.select(*base, span.alias("info"), detail(ranges).alias("details")))
+    if _enum_rules(df, rules):
+        categories = check_categorical(df, rules, keys)
+        listed = F.concat(F.lit("unseen=["), F.array_join("unseen_sample", ", "), F.lit("]"))
+        out = out.unionByName(categories.select(*base, listed.alias("info"), detail(categories).alias("details")))
+    return out
 
 
 def validation_summary(

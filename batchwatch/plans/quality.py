@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchwatch.functions import cells
 from batchwatch.functions.cells import finite, is_identifier_col, without_markers
-from batchwatch.operators import clean, profile, validate
+from batchwatch.operators import clean, profile, run, validate
 from batchwatch.plans.registry import query
 from batchwatch.plans.sqltext import FLAGGED, identifier, marker, number
 from batchwatch.plans.views import base, view, with_views
@@ -442,3 +442,54 @@ def quality_gate(spark, sf_dir):
         "run_id", "cleaned_rows", "total_rows", F.round("clean_row_ratio", 6).alias("clean_row_ratio"),
         F.array_join("blocking_reasons", "|").alias("blocking_reasons"), "status",
     )
+
+
+# ---- the composed run ------------------------------------------------------------------------------------------
+
+# A run for each supplier: every fifth lacks a column, every seventh has one more, every third has many rows without a date.
+_RUN_ROWS = """SELECT concat('run-', CAST(r.l_suppkey AS STRING)) AS run_id, r.l_suppkey AS supp, r.l_orderkey, r.l_linenumber, quantity,
+    CASE WHEN r.l_suppkey % 5 = 0 THEN NULL ELSE discount END AS discount, returnflag, is_open,
+    CASE WHEN r.l_suppkey % 3 = 0 AND r.l_orderkey % 2 = 0 THEN NULL ELSE i.l_shipdate END AS shipped
+  FROM lineitem_raw r JOIN (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY l_orderkey, l_linenumber) i
+    ON r.l_orderkey = i.l_orderkey AND r.l_linenumber = i.l_linenumber"""
+
+
+def _composed(spark, sf_dir):
+    base(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    view(spark, sf_dir, "lineitem_raw").createOrReplaceTempView("lineitem_raw")
+    rows = spark.sql(_RUN_ROWS)
+    runs = rows.select("run_id", "supp").distinct()
+    always = [c for c in (*CONTRACT, "shipped") if c != "discount"]
+    present = runs.select("run_id", F.explode(F.concat(
+        F.array(*[F.lit(c) for c in always]), F.when(F.col("supp") % 5 != 0, F.array(F.lit("discount"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("supp") % 7 == 0, F.array(F.lit("note"))).otherwise(F.array().cast("array<string>")),
+    )).alias("column_name"))
+    contract = [*rules(spark, sf_dir), profile.ColumnRule("shipped", "datetime")]
+    return run.run_batches(runs.select("run_id"), rows.drop("supp"), present, contract, KEYS)
+
+
+_COMPOSED_SQL = f"""WITH bounds AS (SELECT quantile_cont(l_quantity, 0.01) AS q_lo, quantile_cont(l_quantity, 0.99) AS q_hi, quantile_cont(l_discount, 0.01) AS d_lo, quantile_cont(l_discount, 0.99) AS d_hi FROM lineitem),
+  run_rows AS ({_RUN_ROWS}),
+  marked AS (SELECT *, {marker('quantity')} AS q_mark, {marker('discount')} AS d_mark, {marker('returnflag')} AS r_mark, {marker('is_open')} AS o_mark, {number('quantity')} AS q_num, {number('discount')} AS d_num FROM run_rows),
+  judged AS (SELECT *, CAST(q_mark OR q_num IS NULL OR q_num < q_lo OR q_num > q_hi AS INTEGER) + CAST(discount IS NOT NULL AND (d_mark OR d_num IS NULL OR d_num < d_lo OR d_num > d_hi) AS INTEGER)
+    + CAST(r_mark OR upper(trim(returnflag)) NOT IN ('A', 'N', 'R') AS INTEGER) + CAST(o_mark OR lower(trim(is_open)) NOT IN ('true', '1', 'yes', 'y', 't', 'false', '0', 'no', 'n', 'f') AS INTEGER) AS issues FROM marked, bounds),
+  r AS (SELECT run_id, any_value(supp) AS supp, count(*) AS total_rows, count(*) FILTER (issues < 3.5) AS cleaned_rows, count(*) FILTER (issues < 3.5 AND shipped IS NULL) AS undated FROM judged GROUP BY run_id),
+  g AS (SELECT *, cleaned_rows / total_rows AS ratio, CASE WHEN cleaned_rows > 0 AND undated / cleaned_rows > 0.3 THEN 1 ELSE 0 END AS failed_checks FROM r)
+  SELECT run_id, total_rows, cleaned_rows, total_rows - cleaned_rows AS rows_removed, CASE WHEN supp % 7 = 0 THEN 'note' ELSE '' END AS extra_columns, CASE WHEN supp % 5 = 0 THEN 'discount' ELSE '' END AS missing_columns,
+    CAST(failed_checks AS BIGINT) AS failed_checks, CAST(0 AS BIGINT) AS schema_errors, round(ratio, 6) AS clean_row_ratio, concat_ws('|',
+    CASE WHEN supp % 5 = 0 THEN 'The incoming dataset is missing baseline-required columns and cannot be treated as production-safe input.' END,
+    CASE WHEN cleaned_rows = 0 THEN 'No usable rows remained after cleaning.' END,
+    CASE WHEN cleaned_rows < 10 THEN concat('The cleaned dataset is below the minimum accepted row count (', cleaned_rows, ' < 10).') END,
+    CASE WHEN ratio < 0.5 THEN concat('The cleaned dataset retained too few rows after quarantine (', printf('%.2f', ratio * 100), '% < 50%).') END,
+    CASE WHEN failed_checks > 0 THEN concat('The cleaned dataset still failed ', failed_checks, ' validation checks.') END) AS blocking_reasons,
+    CASE WHEN supp % 5 <> 0 AND cleaned_rows >= 10 AND ratio >= 0.5 AND failed_checks = 0 THEN 'success' ELSE 'failed' END AS status FROM g"""
+
+
+@query("pipeline_run", checked(_COMPOSED_SQL))
+def pipeline_run(spark, sf_dir):
+    """Every supplier's batch through the whole pipeline; the gate judges the checks of the cleaned rows."""
+    found = _composed(spark, sf_dir).runs
+    return found.drop("raw_failures").withColumns({
+        "clean_row_ratio": F.round("clean_row_ratio", 6), "blocking_reasons": F.array_join("blocking_reasons", "|"),
+        "extra_columns": F.array_join("extra_columns", ","), "missing_columns": F.array_join("missing_columns", ","),
+    })

@@ -10,7 +10,7 @@ from batchwatch.plans.registry import query
 from batchwatch.plans.sqltext import FLAGGED
 from batchwatch.plans.views import base, view, with_views
 from batchwatch.sources.storage import fresh_path
-from batchwatch.streaming import feeds, ingest
+from batchwatch.streaming import assemble, feeds, ingest
 
 CLOCK = "2024-01-31 00:00:00"
 
@@ -35,6 +35,32 @@ def stream_ingest(spark, sf_dir):
     return ingest.ingest(stream, rules(spark, sf_dir), work, keep=KEYS)
 
 
+@query("stream_runs", with_views(f"""WITH {FLAGGED.strip()}, one AS (SELECT concat('batch-', CAST(l_linenumber AS STRING)) AS run_id, is_quarantined FROM counted),
+  r AS (SELECT run_id, count(*) AS total_rows, count(*) FILTER (NOT is_quarantined) AS cleaned_rows FROM one GROUP BY run_id)
+  SELECT run_id, total_rows, cleaned_rows, total_rows - cleaned_rows AS rows_removed, CAST(0 AS BIGINT) AS failed_checks, round(cleaned_rows / total_rows, 6) AS clean_row_ratio,
+    CASE WHEN cleaned_rows >= 10 AND cleaned_rows / total_rows >= 0.5 THEN 'success' ELSE 'failed' END AS status FROM r"""))
+def stream_runs(spark, sf_dir):
+    """Batches that arrive in two halves, with columns in another order in each: nothing is done before the manifest has come, then
+    every run is processed once, as a whole."""
+    folder, work = fresh_path(spark, "arriving"), fresh_path(spark, "assembled")
+    raw = view(spark, sf_dir, "lineitem_raw").withColumn("run", F.concat(F.lit("batch-"), F.col("l_linenumber").cast("string")))
+    columns = [*KEYS, *CONTRACT]
+    early = F.pmod(F.xxhash64(*KEYS), F.lit(2)) == 0
+
+    def deliver(rows, names):
+        out = rows.select("run", *names).write.partitionBy("run").option("header", True).option("quoteAll", True)
+        out.option("emptyValue", "").mode("append").csv(folder)
+
+    deliver(raw.filter(early), columns)
+    assert assemble.ingest_runs(spark, folder, rules(spark, sf_dir), work, KEYS).isEmpty()
+    deliver(raw.filter(~early), columns[::-1])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    names = files.select(assemble.run_of("path").alias("run"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    names.groupBy("run").agg(F.collect_list("name").alias("files")).repartition("run").write.partitionBy("run").mode("append").json(folder)
+    ledger = assemble.ingest_runs(spark, folder, rules(spark, sf_dir), work, KEYS)
+    return ledger.select("run_id", "total_rows", "cleaned_rows", "rows_removed", "failed_checks", F.round("clean_row_ratio", 6).alias("clean_row_ratio"), "status")
+
+
 _RUNS = """o_orderkey AS run_id, o_custkey AS model_id, o_orderdate AS created_at"""
 
 

@@ -19,11 +19,11 @@ LEDGER = "run_id string, rows_in bigint, rows_out bigint, rows_removed bigint, s
 
 
 def incoming(spark: SparkSession, folder: str, columns: Sequence[str], pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """Stream of the CSV files in a folder; ``run_id`` is the name of the file's own folder."""
+    """Stream of the CSV files in a folder; ``run_id`` is the name of the file's own folder. A file whose header is not ``columns`` fails
+    the stream instead of being read by position; ``assemble`` reads files by the names in their own headers."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    files = (
-        spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder)
-    )
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True)
+    files = reader.option("multiLine", True).option("quote", '"').option("escape", '"').csv(folder)
     return files.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 

@@ -96,3 +96,13 @@ def test_preview_and_empty_ledger(spark, contract, tmp_path):
     (tmp_path / "in").mkdir()
     stream = ingest.incoming(spark, str(tmp_path / "in"), ["x", "c"])
     assert ingest.ingest(stream, contract, str(tmp_path / "work")).count() == 0
+
+
+def test_folder_of_json_arrays_and_lines(spark, tmp_path):
+    """Each file says for itself whether it is an array; no record is lost."""
+    (tmp_path / "in").mkdir()
+    write(tmp_path, "in/1.json", '[{"a": 1, "b": "x"},\n {"a": 2}]')
+    write(tmp_path, "in/2.json", '{"a": 3}\n{"a": 4, "c": true}')
+    write(tmp_path, "in/3.json", '\n  [{"a": 5}]')
+    found = readers.load_json(spark, str(tmp_path / "in"))
+    assert sorted(r["a"] for r in found.collect()) == [1, 2, 3, 4, 5] and found.columns == ["a", "b", "c"]

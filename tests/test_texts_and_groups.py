@@ -88,3 +88,13 @@ def test_csv_inference_ignores_partitioning(spark, tmp_path):
     path = str(tmp_path / "b.csv")
     spark.range(100).select(F.when(F.col("id") == 99, "x").otherwise(F.col("id").cast("string")).alias("a"), F.lit("true").alias("f")).repartition(7).write.option("header", True).csv(path)
     assert dict(readers.load_typed(spark, path).dtypes) == {"a": "string", "f": "boolean"}
+
+
+def test_all_stored_unseen_values_reach_the_signal(spark):
+    """A finding keeps 20 values; those stored as rows of their own are joined back, and make no signals themselves."""
+    rows = [(1, "state", "categorical", False, "unseen", '{"unseen_sample": ["v00"]}'), (1, "other", "categorical", False, "unseen", '{"unseen_sample": ["w"]}')]
+    rows += [(1, "state", "unseen_value", None, f"v{i:02d}", "{}") for i in range(50)]
+    quality = spark.createDataFrame(rows, "run_id long, column_name string, check_type string, success boolean, info string, details string")
+    drift = spark.createDataFrame([], "run_id long, feature_name string, drift_detected boolean, severity string, drift_score double")
+    found = {r["column_name"]: r["unseen_values"] for r in signals.build_signals(quality, drift).collect()}
+    assert found == {"state": [f"v{i:02d}" for i in range(50)], "other": ["w"]}
