@@ -7,6 +7,7 @@ is then a difference of two sums, shifted back to its start. Values are constant
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -76,7 +77,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     start, end = word_bounds(data)
     if not len(start):
         return np.zeros(0, np.uint64)
-    words = mixed(Rolling(data).of(start, end) + (end - start).astype(np.uint64))
+    raw = data.tobytes()
+    words = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
     width = min(size, len(words))
     out = np.full(len(words) - width + 1, U(width))
     for k in range(width):

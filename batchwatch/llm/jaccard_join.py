@@ -36,7 +36,7 @@ WORDS, PERCENT = 5, 75
 HOT = 64
 #: Largest block of a hub, in nodes and in shingles.
 BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
-#: Ids up to this number are sent to all executors (tens of MB); beyond it the join shuffles.
+#: Text keys or ids up to this number are sent to all executors (tens of MB); beyond it the join shuffles.
 MOST_BROADCAST_IDS = 500_000
 
 
@@ -109,14 +109,21 @@ def alive_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 def alive_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, copies, n, tokens) of the nodes that may have partners of another node, each once."""
     alive = nodes.join(alive_nodes(docs, words, percent), "node", "left_semi")
-    members = written(alive.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).filter("doc_id is not null"), "alive-nodes")
-    ids = members.select("doc_id").distinct()
+    # a node is fetched by one of its texts, whether or not its rows have ids
+    members = written(alive.groupBy("node").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies")), "alive-nodes")
+    keys = members.select("text_key").distinct()
     if members.count() <= MOST_BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        keys = F.broadcast(keys)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task reads equal texts once
         for batch in batches:
-            found = [s for s in (shingles(t.as_py(), words) for t in batch.column("text")) if len(s)]
+            found = []
+            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text")):
+                if key not in seen:
+                    seen.add(key)
+                    found.append(shingles(text.as_py(), words))
+            found = [s for s in found if len(s)]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +131,8 @@ def alive_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
                 names=["node", "n", "tokens"],
             )
 
-    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "node bigint, n bigint, tokens array<bigint>")
+    keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
+    own = keyed.join(keys, "text_key", "left_semi").mapInArrow(sets, "node bigint, n bigint, tokens array<bigint>")
     return members.select("node", "copies").join(own.dropDuplicates(["node"]), "node")
 
 

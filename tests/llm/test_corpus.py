@@ -259,3 +259,20 @@ def test_query_digests(spark, sf_dir):
     own = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert all(r["size"] == len(own[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(own[r["doc_id"]]) for r in shown.collect())
     assert shown.filter(F.col("law") != "rows").count() == 0
+
+
+def test_rows_without_an_id_link_others(spark):
+    """A row without an id is the only bridge between two documents, which share less than the threshold themselves."""
+    words = [f"w{i}" for i in range(100)]
+    one, two = words[:86], words[14:]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (None, " ".join(words)), (None, " ".join(f"x{i}" for i in range(20))), (7, "apart from all others in this table")]
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_join(rows) and (2, 82, 1, 1) in got and (None, 96, 1, 2) in got
+
+
+def test_structured_words_are_not_taken_for_each_other(spark):
+    """Long words that collide under polynomial hashes modulo a power of two, whatever their base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    rows += [(3, " ".join(["x", rows[0][1]] * 4)), (4, " ".join(["x", rows[1][1]] * 4))]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_join(rows)
