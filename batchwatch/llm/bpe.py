@@ -6,8 +6,9 @@ turn. The gadget of (u, v) -> w takes the arc v away behind u and adds arcs w th
 led. So an arc of w is an arc of its half at the time of the merge, and :meth:`MergeAutomaton.arc` replays the gadgets from the last
 one back. Arcs are entered into a table when first met: all of them would be |V|^2.
 
-A word is encoded by walking that table from token to token until its bytes are spelled. Table and word cache are emptied at a fixed
-size, which changes no result. Decoding emits the byte label of each arc.
+A word is encoded by walking the tokens' tree and those arcs from token to token until its bytes are spelled; the words of some texts
+are counted first, so that each is looked up once. Arcs and word cache are emptied at a fixed size, which changes no result.
+Decoding emits the byte label of each arc: the labels of a batch are gathered in one step and cut at the ends of its texts.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text. Texts are independent, so repeated rows, an empty
 table and other columns need no care. Special tokens in a text are taken whole, as the tokenizers library does by default.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,8 +28,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most entries of the word cache and of the arc table, and the longest word that is cached.
-MOST_WORDS, MOST_ARCS, LONGEST_CACHED = 400_000, 300_000, 40
+#: Most entries of the word cache and of the arc table (some 60 MB), the longest word that is cached, and the characters that are split
+#: into words at once (a longer text is split alone).
+MOST_WORDS, MOST_ARCS, LONGEST_CACHED, CHUNK = 200_000, 200_000, 40, 2_000_000
 NEVER = 1 << 40
 
 
@@ -149,24 +152,83 @@ class Codec(dict):
         self.labels = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for label, k in chain(vocab.items(), ((s.encode(), k) for s, k in self.special.items())):
             self.labels[k] = label
+        self.before: dict[str, tuple[int, ...]] = {}
+        self.arc_labels = pa.array(self.labels, pa.binary())
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if word in self.special:  # no word of the texts between special tokens is one
+            return (self.special[word],)
+        ids = self.before.get(word)
+        if ids is not None:
+            self.keep(word, ids)
+            return ids
         ids = self.automaton.encode(word.encode("utf-8", "surrogatepass"))
         if len(word) <= LONGEST_CACHED:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = ids
+            self.keep(word, ids)
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def keep(self, word: str, ids: tuple[int, ...]) -> None:
+        """Words met since the cache was last full stay for another round, so frequent words are not lost with the rare ones."""
+        if len(self) >= MOST_WORDS // 2:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def words(self, text: str | None) -> list[str]:
         if not text:
-            return np.zeros(0, np.int32)
-        parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-        tokens = [[(self.special[p],)] if p in self.special else map(self.__getitem__, words(p)) for p in parts]
-        return np.fromiter(chain.from_iterable(chain.from_iterable(tokens)), np.int32)
+            return []
+        if not self.split or not any(s in text for s in self.special):
+            return words(text)
+        return [w for p in self.split.split(text) for w in ([p] if p in self.special else words(p))]
+
+    def _encode(self, found: list[str], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of some texts, and the number of ids of each text (of ``numbers`` words)."""
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        tokens = [self[w] for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(chain.from_iterable(tokens), np.int32, int(sizes.sum()))
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        starts = (np.cumsum(sizes) - sizes)[at]
+        ids = flat[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, np.diff(ends[np.cumsum([0, *numbers])])
+
+    def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text begin and the last ones end."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        found: list[str] = []
+        numbers: list[int] = []
+        held = 0
+        for text in texts:
+            own = self.words(text)
+            found += own
+            numbers.append(len(own))
+            held += len(text or "")
+            if held >= CHUNK:
+                for out, part in zip((ids, sizes), self._encode(found, numbers)):
+                    out.append(part)
+                found, numbers, held = [], [], 0
+        for out, part in zip((ids, sizes), self._encode(found, numbers)):
+            out.append(part)
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of ids cut at ``bounds``; broken UTF-8 becomes U+FFFD."""
+        labels = self.arc_labels.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(labels.buffers()[1], np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data = labels.buffers()[2] if len(ids) else pa.py_buffer(b"")
+        texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds].astype(np.int32)), data])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array((t.decode("utf-8", "replace") for t in texts.to_pylist()), type=pa.string())
 
     def decode(self, ids: list[int] | None) -> str:
-        return b"".join(map(self.labels.__getitem__, ids or [])).decode("utf-8", "replace")
+        return self.decode_all(np.array(ids or [], np.int32), np.array([0, len(ids or [])]))[0].as_py()
 
 
 @functools.lru_cache(maxsize=2)
@@ -187,30 +249,41 @@ def encoded(text: Column, path: str | None = None) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        own = codec(path)
-        rows = [own.encode(t.as_py()) for t in texts]
-        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+        return listed(*codec(path).encode_all(t.as_py() for t in texts))
 
     return encode(text)
 
 
+def listed(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 def decoded(ids: Column, path: str | None = None) -> Column:
     """The text of a column of token ids; broken UTF-8 becomes U+FFFD."""
     path = path or default_path()
 
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        own = codec(path)
-        return pa.array((own.decode(r.as_py()) for r in rows), type=pa.string())
+        bounds = np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+        return codec(path).decode_all(rows.flatten().to_numpy(), bounds)
 
     return decode(ids)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids and the text decoded from them, a row for each row of ``docs``."""
-    ids = docs.select("doc_id", encoded(F.col("text"), path).alias("ids"))
-    return ids.withColumn("decoded", decoded(F.col("ids"), path))
+    """doc_id, ids and the text decoded from them, a row for each row of ``docs``. One Python worker a task does both."""
+    path = path or default_path()
+    id_field = docs.select("doc_id").schema.fields[0].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            ids, bounds = own.encode_all(t.as_py() for t in batch.column("text"))
+            columns = [batch.column("doc_id"), listed(ids, bounds), own.decode_all(ids, bounds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_field}, ids array<int>, decoded string")
 
 
 def digests(rows: DataFrame) -> DataFrame:

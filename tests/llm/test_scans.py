@@ -132,3 +132,41 @@ def test_languages_of_long_texts_are_learned(spark):
 def test_texts_stay_where_no_language_is_learned(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ж", None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in language.accepted(docs, language.learn(docs)).collect()) == [1, 4]
+
+
+def test_codec_query_digests(spark, edge, tmp_path):
+    """The query's columns from the tokenizers library itself, over texts of all kinds."""
+    import hashlib
+
+    import public_tokenizers
+    import tokenizers
+
+    from batchwatch.llm import q_bpe
+
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    library.no_truncation()
+    library.no_padding()
+    edge.write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for r in edge.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in q_bpe.op10_bpe_codec(spark, str(tmp_path)).collect())
+
+
+def test_small_caches_and_chunks_change_nothing(edge_rows):
+    from batchwatch.llm import bpe
+
+    texts = [r[1] for r in edge_rows] + ["a" * 3000, "ü" * 500]
+    whole = bpe.Codec(bpe.default_path())
+    ids, bounds = whole.encode_all(texts)
+    old = bpe.MOST_WORDS, bpe.CHUNK
+    bpe.MOST_WORDS, bpe.CHUNK = 10, 50
+    try:
+        again, ends = bpe.Codec(bpe.default_path()).encode_all(texts)
+    finally:
+        bpe.MOST_WORDS, bpe.CHUNK = old
+    assert again.tolist() == ids.tolist() and ends.tolist() == bounds.tolist()
+    assert whole.decode_all(ids, bounds).to_pylist() == [t or "" for t in texts]
+    assert whole.decode(ids[:1].tolist() + [whole.automaton.id_of[b"\xff"]]).endswith("�")
