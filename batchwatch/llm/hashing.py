@@ -58,6 +58,21 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+#: Words whose hashes a worker remembers (some 25 MB).
+KNOWN = 200_000
+
+
+class WordHashes(dict):
+    """A published 64-bit hash of each word, computed once while it is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_WORDS = WordHashes()
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
@@ -73,14 +88,16 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word shingles; a shorter text is one shingle, one without words none.
     ASCII letters are lower-cased."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    start, end = word_bounds(data)
-    if not len(start):
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.split knows the same six separators
+    if not found:
         return np.zeros(0, np.uint64)
-    raw = data.tobytes()
-    words = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+    words = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     width = min(size, len(words))
-    out = np.full(len(words) - width + 1, U(width))
-    for k in range(width):
-        out = mixed(out * U(0x9E3779B97F4A7C15) + words[k:len(words) - width + 1 + k])
-    return np.unique(out)
+    number = len(words) - width + 1
+    out = words[:number] + U(width)
+    for k in range(1, width):  # the words' hashes have no structure, so few terms need no mixing in between
+        out *= U(0x9E3779B97F4A7C15)
+        out += words[k:k + number]
+    out = mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]

@@ -12,7 +12,7 @@ n - t + l shingles of both sets, in any common order, there are at least l commo
    blocks (of bounded size) is verified in one task, which returns link counts and a spanning forest, never the pairs.
 4. *Classes* are the connected components; each document gets its smallest document id and its number of links.
 
-Shingles and nodes are 64-bit hashes: two of N different sets are taken for one with probability N^2 / 2^65.
+Shingles and nodes are 64-bit hashes of published word hashes: two of N different ones are taken for one with probability of about N^2 / 2^61.
 
 Defined cases: null, empty or blank texts have no set and link with nothing; rows without an id are returned with the class of
 their links, or null; repeated rows are copies like any other; an empty table gives an empty result; only doc_id and text are read.

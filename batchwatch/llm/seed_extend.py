@@ -28,29 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchwatch.llm.common import written
-from batchwatch.llm.hashing import mixed
+from batchwatch.llm.hashing import WordHashes, mixed
 
 WINDOW, GRAM = 35, 8
-#: Words of a piece, bytes that are split at once, words whose hashes a task remembers.
-PIECE, BYTES, KNOWN = 1 << 18, 1_000_000, 200_000
+#: Words of a piece, bytes that are split at once.
+PIECE, BYTES = 1 << 18, 1_000_000
 U = np.uint64
 
 
-class WordHashes(dict):
-    """Hash of each word, looked up once for each word and task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def parts_of(data: bytes, size: int = BYTES) -> Iterator[list[bytes]]:
     """The words of a text (bytes.split knows the same six separators), some at a time."""
     at = 0
