@@ -32,6 +32,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hash_limit(share: float) -> int:
+    """Keys with an ``xxhash64`` up to this number are about ``share`` of all keys, however small the share is."""
+    return min(int(share * 2**64), 2**64 - 1) - 2**63
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe from lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchwatch.llm import decontaminate, host_rules, jaccard_join, ordinal, quality, shards, substrings, toxicity
+from batchwatch.llm.common import hash_limit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -203,6 +204,58 @@ def test_leaks_of_short_and_unspaced_items(spark):
     assert leaking(spark, rows, list(enumerate(items))) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 3), (6, 4)]
 
 
+def planted(bench, docs):
+    """(item, text) of items with a fifth or two fifths of their words changed, the answer kept, between words of documents."""
+    rng = np.random.default_rng(4)
+    around = [w for t in docs if t and len(w := re.findall(r"\w+", t)) > 100]
+    out = []
+    for k, item in enumerate(bench):
+        for share in (0.2, 0.4):
+            words, other, more = re.findall(r"\w+", item), *[around[i] for i in rng.integers(0, len(around), 2)]
+            for i in rng.permutation(max(len(words) - 5, 0))[:int(share * len(words))]:
+                words[i] = other[rng.integers(len(other))]
+            out.append((k, " ".join([*other[:60], *words, *more[:60]])))
+    return out
+
+
+def test_latent_search_finds_what_a_search_of_all_passages_finds(spark, docs, sf_dir, monkeypatch):
+    bench = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()]
+    bench += [" ".join(f"topic{k % 40}x{(k * j + j) % 97}" for j in range(40)) for k in range(200)]  # many passages, so that the rank is low
+    texts = [r["text"] for r in docs.collect()]
+    cases = planted(bench, texts)
+    items = [(k, decontaminate.words_of(t)) for k, t in enumerate(bench)]
+    df, total = decontaminate.document_counts(docs)
+    assert total == len(texts)
+    alone = [np.unique(decontaminate.feature_of(decontaminate.words_of(t).terms)) for t in texts]
+    assert np.array_equal(df, np.bincount(np.concatenate(alone), minlength=decontaminate.FEATURES))
+    idf = np.log((total + 1) / (df + 1)) + 0.05
+    spaces = decontaminate.spaces_of(items, docs.select("text").limit(50), idf)
+    assert all(space.basis.shape[1] <= max(decontaminate.LEAST_RANK, len(space.passages) // decontaminate.RANK_SHARE) for space in spaces)
+    assert max(len(space.passages) for space in spaces) >= 5 * min(space.basis.shape[1] for space in spaces)
+    runs, together = decontaminate.Runs(items), decontaminate.words_of(*[t for _, t in cases], None, "", *texts)
+    found = decontaminate.leaks_of(together, spaces, items, runs, idf)
+    one_by_one = [decontaminate.leaks_of(own, spaces, items, runs, idf).get(0, {}) for own in together.parts()]
+    assert [set(own) for own in one_by_one] == [set(found.get(k, {})) for k in range(len(one_by_one))]
+    monkeypatch.setattr(decontaminate, "NEAR", -2.0)
+    brute = decontaminate.leaks_of(together, spaces, items, runs, idf)
+    pairs = lambda f: {(k, i) for k, own in f.items() for i in own}
+    assert pairs(found) <= pairs(brute) and len(pairs(found)) >= 0.99 * len(pairs(brute))
+    assert sum(k in brute.get(n, ()) for n, (k, _) in enumerate(cases)) >= 0.8 * len(cases)
+
+
+def test_benchmark_in_parts_gives_the_same_leaks(spark, docs, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    key = lambda part_bytes: sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench, part_bytes).collect())
+    whole, size = key(1 << 20), sum(len((r["text"] or "").encode()) for r in bench.collect())
+    assert key(size // 3) == whole and whole
+
+
+@pytest.mark.parametrize("share", [1e-12, 0.25, 0.5, 1.0, 7.0])
+def test_sample_limits_hold_for_any_share(share):
+    limit = hash_limit(share)
+    assert -2**63 <= limit < 2**63 and abs((limit + 2**63) / 2**64 - min(share, 1.0)) <= 1e-3 * share
+
+
 def test_window_norms_are_those_of_word_counts():
     rng = np.random.default_rng(6)
     f, idf = rng.integers(0, 12, 100), rng.random(12)
