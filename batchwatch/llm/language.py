@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchwatch.llm.common import hash_limit
+
 DOCS_PER_LANG, BYTES_PER_LANG, LEAST_PIECE, UNKNOWN = 64, 24_000, 500, "und"
 ANY = "any"  # stands for all languages where none is learned
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -130,8 +132,8 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: i
     if not totals:
         return ()
     order = F.xxhash64(F.col("doc_id"))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, 2.0 * docs_per_lang / n))])
-    drawn = known.withColumn("o", order).filter(F.pmod("o", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    limit = F.create_map(*[x for lang, n in sorted(totals.items()) for x in (F.lit(lang), F.lit(hash_limit(2.0 * docs_per_lang / n)).cast("long"))])
+    drawn = known.withColumn("o", order).filter(F.col("o") <= F.element_at(limit, F.col("lang")))
     # longer texts are cut before they come to the driver; runs of ASCII characters that are no letters go first, as in normal()
     letters = F.regexp_replace("text", r"[\x00-@\[-`{-\x7f]+", " ").cast("binary")
     middle = letters.substr(F.greatest(F.lit(1), F.floor((F.octet_length(letters) - bytes_per_lang) / 2).cast("int") + 1), F.lit(bytes_per_lang))

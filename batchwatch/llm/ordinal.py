@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchwatch.llm.common import hash_limit
+
 FEATURES, HEADS, PRESENT, PER_GRADE, STEPS, RATE, RIDGE, MIN_Z = 1 << 18, (4, 5), 0.2, 4000, 300, 0.08, 1e-4, 4.0
 SHAPES = 6
 WORD = re.compile(r"\w+")
@@ -133,8 +135,8 @@ def fit(docs: DataFrame, graded: DataFrame, per_grade: int = PER_GRADE) -> Model
     totals = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     if len(totals) < 2:
         return None
-    share = F.create_map(*[F.lit(x) for g, n in sorted(totals.items()) for x in (g, min(1.0, per_grade / n))])
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("grade")) * (1 << 20))
+    limit = F.create_map(*[x for g, n in sorted(totals.items()) for x in (F.lit(g), F.lit(hash_limit(per_grade / n)).cast("long"))])
+    drawn = known.filter(F.xxhash64("doc_id") <= F.element_at(limit, F.col("grade")))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn.distinct()), "doc_id")  # about per_grade x grades ids
     rows, grades, seen = [], [], set()
 
