@@ -15,6 +15,8 @@ _RNG = np.random.default_rng(20240229)
 VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 BASES = [int(x) * 8 + 3 for x in _RNG.integers(1 << 40, 1 << 60, 2)]
 MASK = (1 << 64) - 1
+#: Powers that a worker keeps (16 MB for each hash).
+KEPT = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -47,11 +49,13 @@ class Rolling:
 
     @classmethod
     def _powers(cls, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of the base and of its inverse, kept for the longest text so far."""
+        """Powers of the base and of its inverse, kept for the longest text so far of up to ``KEPT`` bytes."""
         known = cls._tables.get(kind)
         if known is None or len(known[0]) < n:
             size = 1 << max(16, (n - 1).bit_length())
-            known = cls._tables[kind] = powers(BASES[kind], size), powers(pow(BASES[kind], -1, 1 << 64), size)
+            known = powers(BASES[kind], size), powers(pow(BASES[kind], -1, 1 << 64), size)
+            if size <= KEPT:
+                cls._tables[kind] = known
         return known
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -7,7 +7,9 @@ document bytes`` and the lowest one wins, ties by name.
 The labelled text is a bounded sample: about ``DOCS_PER_LANG`` documents by the lowest hash of their id, of which whole texts are taken
 while they fit into ``BYTES_PER_LANG`` bytes, each different text once; what is then left of the bytes is shared out to pieces of the
 texts that did not fit (of longer texts, the middle). It reaches the tasks as text (``BYTES_PER_LANG`` for each language) and is
-compiled once in each Python worker. Parsing is one table step for each byte and language, with no shuffle.
+compiled once in each Python worker, which keeps one model as flat tables of 32-bit numbers. Parsing is one table step for each byte
+and language, with no shuffle; texts of similar length take their steps together, about ``TOGETHER`` bytes at a time, and texts
+too long for that one by one.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. With one language learned the score is 1; with
 none every document is ``und``, and :func:`accepted` keeps all texts with a letter. Rows with null id, lang or text are never learned from. Repeated rows get equal results; an
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from batchwatch.llm.common import hash_limit
 
 DOCS_PER_LANG, BYTES_PER_LANG, LEAST_PIECE, UNKNOWN = 64, 24_000, 500, "und"
+#: Bytes of the texts that are parsed together, byte positions of them looked at in one go, and the fewest texts worth it.
+TOGETHER, POSITIONS, FEWEST = 1 << 21, 1 << 10, 24
 ANY = "any"  # stands for all languages where none is learned
 RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
@@ -89,35 +94,72 @@ class Parser:
         self.twins = self.codes * self.codes
         self.first = self.codes * self.codes
         table[self.codes] = np.arange(self.codes)  # a text starts with a phrase
-        shared = [k * self.codes for k in range(len(table))]  # one number object for each state, not for each arc
-        self.table = list(map(shared.__getitem__, table.ravel().tolist()))
+        self.table = (table * np.int32(self.codes)).ravel()
+        self.code_of = np.frombuffer(self.class_of, np.uint8).astype(np.int32)
 
     def phrases(self, data: bytes) -> int:
-        table, twins, state, count = self.table, self.twins, self.first, 0
+        table, twins, state, count = memoryview(self.table), self.twins, self.first, 0
         for c in data.translate(self.class_of):
             state = table[state + c]
             if state < twins:
                 count += 1
         return count
 
-    def entropy(self, data: bytes) -> float:
-        return self.phrases(data) * math.log2(self.bytes) / len(data)
+    def phrases_of(self, bytes_at: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases of many texts: ``bytes_at[i]`` holds byte ``i`` of each, of which the first ``active[i]`` are that long."""
+        state = np.full(bytes_at.shape[1], self.first, np.int32)
+        count = np.zeros(bytes_at.shape[1], np.int64)
+        for low in range(0, len(bytes_at), POSITIONS):
+            codes = self.code_of[bytes_at[low:low + POSITIONS]]
+            for row, k in zip(codes, active[low:low + POSITIONS].tolist()):
+                own = state[:k]
+                self.table.take(row[:k] + own, out=own, mode="clip")  # never outside; other modes copy the result
+                count[:k] += own < self.twins
+        return count
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def parsers(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, Parser]]:
     """Compiled once in each Python worker."""
     return [(lang, Parser(data)) for lang, data in model]
 
 
-def predict(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float]:
-    """Language and score: how much lower the best entropy is than the second best one."""
-    if not text or not model or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0
-    data = normal(text) or b" "
-    ranked = sorted((p.entropy(data), lang) for lang, p in parsers(model))
-    score = 1.0 if len(ranked) == 1 else (1.0 - ranked[0][0] / ranked[1][0] if ranked[1][0] > 0 else 0.0)
-    return ranked[0][1], min(max(score, 0.0), 1.0)
+def side_by_side(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of the texts, bytes by position and text, texts that reach each position), longest text first."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    low = 0
+    while low < len(order):
+        longest = len(texts[order[low]])
+        own = order[low:low + max(TOGETHER // longest, 1)]
+        low += len(own)
+        if len(own) < FEWEST:
+            yield np.array(own), np.zeros((0, len(own)), np.uint8), np.zeros(0, np.int64)
+            continue
+        lengths = np.array([len(texts[k]) for k in own])
+        padded = np.frombuffer(b"".join(texts[k].ljust(longest) for k in own), np.uint8).reshape(len(own), longest)
+        yield np.array(own), np.ascontiguousarray(padded.T), len(own) - np.searchsorted(lengths[::-1], np.arange(longest), "right")
+
+
+def phrases_by_language(texts: list[bytes], known: list[tuple[str, Parser]]) -> np.ndarray:
+    """Number of phrases of each text (row) in each language (column)."""
+    out = np.zeros((len(texts), len(known)), np.int64)
+    for own, bytes_at, active in side_by_side(texts):
+        for k, (_, parser) in enumerate(known):
+            out[own, k] = parser.phrases_of(bytes_at, active) if len(bytes_at) else [parser.phrases(texts[i]) for i in own]
+    return out
+
+
+def predict(texts: list[str | None], model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, float]]:
+    """Language and score of each text. The score is how much lower the best entropy is than the second best one."""
+    found = [(UNKNOWN, 0.0)] * len(texts)
+    lettered = [k for k, text in enumerate(texts) if text and model and any(map(str.isalpha, text))]
+    data = [normal(texts[k]) or b" " for k in lettered]
+    known = parsers(model)
+    for k, own, phrases in zip(lettered, data, phrases_by_language(data, known).tolist()):
+        ranked = sorted((n * math.log2(parser.bytes) / len(own), lang) for n, (lang, parser) in zip(phrases, known))
+        score = 1.0 if len(ranked) == 1 else (1.0 - ranked[0][0] / ranked[1][0] if ranked[1][0] > 0 else 0.0)
+        found[k] = ranked[0][1], min(max(score, 0.0), 1.0)
+    return found
 
 
 def fold(doc_id: Column) -> Column:
@@ -164,8 +206,7 @@ def languages_of(text: Column, model: tuple[tuple[str, bytes], ...]) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def identify(texts: pa.Array) -> pa.Array:
-        found = [predict(t.as_py(), model) for t in texts]
-        return pa.array([{"lang": lang, "score": score} for lang, score in found], type=RESULT)
+        return pa.array([{"lang": lang, "score": score} for lang, score in predict(texts.to_pylist(), model)], type=RESULT)
 
     return identify(text)
 

@@ -99,6 +99,18 @@ def test_cross_parsing_counts_longest_phrases():
         assert language.Parser(known).phrases(text) == count
 
 
+def test_texts_parsed_together_are_parsed_alike(monkeypatch):
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"abcde ") for _ in range(rng.choice([1, 2, 40, 41, 300]))) for _ in range(200)] + [bytes(rng.choice(b"abcdef") for _ in range(9000))]
+    known = [(str(k), language.Parser(bytes(rng.choice(letters) for _ in range(500)))) for k, letters in enumerate((b"abc ", b"cde ", b"abcdef"))]
+    want = [[p.phrases(t) for _, p in known] for t in texts]
+    for together, positions, fewest in ((1 << 20, 1 << 10, 2), (12_000, 7, 2), (1000, 64, 5)):
+        for name, value in (("TOGETHER", together), ("POSITIONS", positions), ("FEWEST", fewest)):
+            monkeypatch.setattr(language, name, value)
+        assert language.phrases_by_language(texts, known).tolist() == want
+    assert language.phrases_by_language([], known).shape == (0, 3) and language.predict([], ()) == []
+
+
 def test_language_is_right_on_held_out_documents(docs):
     found = language.identify(docs, language.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r["held_out"]]
