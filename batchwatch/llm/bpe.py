@@ -28,9 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchwatch.llm.common import runs_of
+
 #: Most entries of the word cache and of the arc table (some 60 MB), the longest word that is cached, and the characters that are split
 #: into words at once (a longer text is split alone).
-MOST_WORDS, MOST_ARCS, LONGEST_CACHED, CHUNK = 200_000, 200_000, 40, 2_000_000
+MOST_WORDS, MOST_ARCS, LONGEST_CACHED, CHUNK = 200_000, 200_000, 40, 500_000
+#: Text bytes that are encoded and decoded at a time, so that a worker holds one batch of texts and little more.
+PIECE = 2 << 20
 NEVER = 1 << 40
 
 
@@ -278,9 +282,11 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids, bounds = own.encode_all(t.as_py() for t in batch.column("text"))
-            columns = [batch.column("doc_id"), listed(ids, bounds), own.decode_all(ids, bounds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+            for start, number in runs_of(batch.column("text"), PIECE):
+                part = batch.slice(start, number)
+                ids, bounds = own.encode_all(t.as_py() for t in part.column("text"))
+                columns = [part.column("doc_id"), listed(ids, bounds), own.decode_all(ids, bounds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
         pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_field}, ids array<int>, decoded string")

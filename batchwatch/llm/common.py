@@ -6,6 +6,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,15 @@ def hash_limit(share: float) -> int:
     return min(int(share * 2**64), 2**64 - 1) - 2**63
 
 
+def runs_of(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """(start, number) of runs of texts that hold about ``size`` bytes each; a longer text stays whole."""
+    if not len(texts):
+        return []
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(before // size)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe from lost executors."""
     path = fresh_path(df.sparkSession, name)

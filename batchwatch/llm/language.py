@@ -21,13 +21,14 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import hash_limit
+from batchwatch.llm.common import hash_limit, runs_of
 
 DOCS_PER_LANG, BYTES_PER_LANG, LEAST_PIECE, UNKNOWN = 64, 24_000, 500, "und"
 #: Bytes of the texts that are parsed together, byte positions of them looked at in one go, and the fewest texts worth it.
@@ -206,7 +207,8 @@ def languages_of(text: Column, model: tuple[tuple[str, bytes], ...]) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def identify(texts: pa.Array) -> pa.Array:
-        return pa.array([{"lang": lang, "score": score} for lang, score in predict(texts.to_pylist(), model)], type=RESULT)
+        found = chain.from_iterable(predict(texts.slice(start, number).to_pylist(), model) for start, number in runs_of(texts, 2 * TOGETHER))
+        return pa.array([{"lang": lang, "score": score} for lang, score in found], type=RESULT)
 
     return identify(text)
 
