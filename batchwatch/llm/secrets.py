@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +95,8 @@ class Scanner:
                     found.append((start, k, done[k]))
         found.sort()
         plain = len(data) == len(text or "")
-        at = (lambda i: i) if plain else (lambda i: len(data[:i].decode("utf-8", "surrogatepass")))
+        points = None if plain or not found else np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80, dtype=np.int32)  # code points up to each byte, itself included
+        at = (lambda i: i) if plain else (lambda i: int(points[i - 1]) if i else 0)
         return [{"kind": self.rules[k].kind, "start": at(s), "end": at(e)} for s, k, e in found]
 
 
@@ -138,7 +140,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         own = scanner(rules)
-        return pa.array((redacted(t, own.spans(t)) for t in texts.to_pylist()), type=pa.string())
+        return pa.array((redacted(t, own.spans(t)) for t in (x.as_py() for x in texts)), type=pa.string())
 
     return docs.withColumn("text", clean(F.col("text")))
 

@@ -4,9 +4,11 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from batchwatch.llm import bpe, language, secrets
+from batchwatch.llm.common import runs_of
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 
@@ -99,6 +101,21 @@ def test_cross_parsing_counts_longest_phrases():
         assert language.Parser(known).phrases(text) == count
 
 
+def test_runs_of_texts_hold_all_of_them():
+    texts = pa.array(["abc", None, "", "d" * 50, "é" * 4, *["xy"] * 30])
+    for size in (1, 8, 1000):
+        runs = runs_of(texts, size)
+        assert [k for start, number in runs for k in range(start, start + number)] == list(range(len(texts)))
+    assert len(runs_of(texts, 8)) > 5 and runs_of(texts, 1000) == [(0, len(texts))] and runs_of(texts[:0], 8) == []
+
+
+def test_spans_count_code_points_in_long_texts():
+    one = "é token = abcdef123 ж "
+    spans = secrets.scanner(secrets.RULES).spans(one * 3000)
+    starts = [s["start"] for s in spans if s["kind"] == "assign"]
+    assert starts == [k * len(one) + 2 for k in range(3000)] and all((one * 3000)[s["start"]:s["end"]] == "token = abcdef123" for s in spans if s["kind"] == "assign")
+
+
 def test_texts_parsed_together_are_parsed_alike(monkeypatch):
     rng = random.Random(9)
     texts = [bytes(rng.choice(b"abcde ") for _ in range(rng.choice([1, 2, 40, 41, 300]))) for _ in range(200)] + [bytes(rng.choice(b"abcdef") for _ in range(9000))]
