@@ -2,9 +2,9 @@
 
 1. Document frequencies of hashed words over all documents give the IDF weights.
 2. A randomised SVD of the TF-IDF passages (range finder with one power step, then Rayleigh-Ritz) gives one latent space for all
-   benchmark passages of about the same length, with an eighth as many dimensions as passages (``LEAST_RANK`` to ``MOST_RANK``). Its
-   rows are the passages and the windows of a bounded sample of documents, which is written once; the products with the tall matrix
-   are partial sums in the tasks, added up by Spark.
+   benchmark passages of about the same length, with an eighth as many dimensions as passages (``LEAST_RANK`` to ``MOST_RANK``, none
+   without weight). Its rows are all these passages and nothing else, so no document or sample of them shapes it; the products with
+   the tall matrix are partial sums in the tasks, added up by Spark.
 3. Every window of every document, about as long as the passages, is projected once. Its candidates are the passages whose latent
    cosine is at least ``NEAR``; the cosine of the whole TF-IDF vectors then confirms them (``MIN_COSINE``). Windows whose TF-IDF
    weight lies mostly outside the passages' words cannot reach that and are passed over, which is exact.
@@ -14,7 +14,7 @@
 
 Copies word for word do not hang on the cosine: the first words of each passage are looked up at every word of every document.
 
-Only the IDF table (``FEATURES`` numbers), the sample's sums and the benchmark reach driver and tasks; a benchmark of more than
+Only the IDF table (``FEATURES`` numbers), the passages' sums and the benchmark reach driver and tasks; a benchmark of more than
 ``PART_BYTES`` of text is searched part by part. Documents are never shuffled. Texts are worked on together, about ``CHUNK``
 characters at a time; a longer text is taken whole.
 
@@ -34,15 +34,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import free_name, hash_limit, written
+from batchwatch.llm.common import free_name
 from batchwatch.llm.hashing import Rolling, mixed
 
-FEATURES, OVERSAMPLE, SAMPLE_DOCS, SEED = 1 << 16, 16, 2000, 7
+FEATURES, OVERSAMPLE, SEED = 1 << 16, 16, 7
 #: Dimensions of a latent space: passages / ``RANK_SHARE``, within these bounds. Smallest latent cosine of a candidate.
 RANK_SHARE, LEAST_RANK, MOST_RANK, NEAR = 8, 16, 64, 0.65
+#: Share of the largest eigenvalue below which a dimension holds no passage and is only rounding.
+NO_WEIGHT = 1e-9
 #: Characters of the texts that are worked on together, windows and pairs looked at in one step, and text bytes of a benchmark part.
 CHUNK, STEP, PAIRS, PART_BYTES = 1 << 19, 512, 1 << 14, 32 << 20
 PASSAGE, MIN_ITEM_WORDS, HEAD = 48, 8, 4
@@ -194,15 +196,15 @@ def passages_of(items: list[tuple[object, Words]]) -> list[tuple[int, slice, boo
     return cut
 
 
-def spaces_of(items: list[tuple[object, Words]], sample: DataFrame, idf: np.ndarray) -> list[Space]:
-    """A latent space for each length of windows."""
+def spaces_of(items: list[tuple[object, Words]], docs: DataFrame, idf: np.ndarray) -> list[Space]:
+    """A latent space for each length of windows. Of ``docs`` only the session is used."""
     cut = [(k, items[k][1].terms[place], closing) for k, place, closing in passages_of(items)]
     out, longer = [], np.inf
     for least, window in WINDOWS.items():
         alike = [x for x in cut if max(least, MIN_ITEM_WORDS) <= len(x[1]) < longer]
         longer = least
         if alike:
-            out.append(fit([w for _, w, _ in alike], np.array([k for k, _, _ in alike]), np.array([c for _, _, c in alike]), window, sample, idf))
+            out.append(fit([w for _, w, _ in alike], np.array([k for k, _, _ in alike]), np.array([c for _, _, c in alike]), window, docs.sparkSession, idf))
     return out
 
 
@@ -245,13 +247,6 @@ class Runs:
         return found
 
 
-def windows(words: np.ndarray, size: int) -> list[np.ndarray]:
-    if not len(words):
-        return []
-    last = max(0, len(words) - size)
-    return [words[s:s + size] for s in (*range(0, last, size), last)]
-
-
 def length_of(f: np.ndarray, idf: np.ndarray) -> float:
     """Length of the TF-IDF vector of some words."""
     used, times = np.unique(f, return_counts=True)
@@ -297,8 +292,11 @@ def tall_product(column: np.ndarray, idf: np.ndarray, passages: list[np.ndarray]
     return out
 
 
-def fit(passages: list[np.ndarray], item: np.ndarray, closing: np.ndarray, window: int, sample: DataFrame, idf: np.ndarray) -> Space:
-    """The latent space of the passages."""
+def fit(passages: list[np.ndarray], item: np.ndarray, closing: np.ndarray, window: int, spark: SparkSession, idf: np.ndarray) -> Space:
+    """The latent space of the passages, all of which are its rows."""
+    ends = np.cumsum([0, *map(len, passages)]).astype(np.int32)
+    rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(passages).view(np.int64)))
+    spread = spark.createDataFrame(pa.table({"words": rows}))
     used = np.unique(feature_of(np.concatenate(passages)))
     column = np.full(FEATURES, -1, np.int64)
     column[used] = np.arange(len(used))
@@ -309,8 +307,7 @@ def fit(passages: list[np.ndarray], item: np.ndarray, closing: np.ndarray, windo
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(right)
             for batch in batches:
-                for t in batch.column("text"):
-                    total += tall_product(column, idf, windows(words_of(t.as_py()).terms, window), right)
+                total += tall_product(column, idf, [words.values.to_numpy().view(np.uint64) for words in batch.column("words")], right)
             used = np.flatnonzero(np.abs(total).sum(axis=1))
             rows = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), right.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(used), rows], names=["col", "row"])
@@ -322,17 +319,18 @@ def fit(passages: list[np.ndarray], item: np.ndarray, closing: np.ndarray, windo
             np.add.at(total, where, row)
             return pa.table({"col": used, "row": pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), right.shape[1]).cast(pa.list_(pa.float64()))})
 
-        parts = sample.select("text").mapInArrow(partial, "col bigint, row array<double>")
-        out = tall_product(column, idf, passages, right)
+        parts = spread.mapInArrow(partial, "col bigint, row array<double>")
+        out = np.zeros_like(right)
         for r in parts.groupBy(F.pmod("col", F.lit(64))).applyInArrow(added, "col bigint, row array<double>").collect():
-            out[r["col"]] += np.array(r["row"]) / SAMPLE_DOCS  # so that the corpus does not crowd out the passages
+            out[r["col"]] += np.array(r["row"])
         return out
 
     q, _ = np.linalg.qr(product(right))
     again = product(q)
     values, vectors = np.linalg.eigh((q.T @ again + again.T @ q) / 2)
-    basis = (q @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
-    latent, keys, weights = np.zeros((len(passages), rank), np.float32), [], []
+    order = np.argsort(values)[::-1][:rank]
+    basis = (q @ vectors[:, order[values[order] > NO_WEIGHT * values[order[0]]]]).astype(np.float32)
+    latent, keys, weights = np.zeros((len(passages), basis.shape[1]), np.float32), [], []
     for k, words in enumerate(passages):
         f, times = np.unique(feature_of(words), return_counts=True)
         own = idf[f] * times
@@ -459,9 +457,9 @@ def leaks_of(text: Words, spaces: list[Space], items: list[tuple[object, Words]]
     return found
 
 
-def search(docs: DataFrame, items: list[tuple[object, Words]], sample: DataFrame, idf: np.ndarray, schema: str) -> DataFrame:
+def search(docs: DataFrame, items: list[tuple[object, Words]], idf: np.ndarray, schema: str) -> DataFrame:
     """The items found in all documents; the benchmark's part, its spaces and one number for each feature reach the tasks."""
-    model = docs.sparkSession.sparkContext.broadcast((spaces_of(items, sample, idf), items, Runs(items), idf))
+    model = docs.sparkSession.sparkContext.broadcast((spaces_of(items, docs, idf), items, Runs(items), idf))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaces, items, runs, idf = model.value
@@ -485,17 +483,15 @@ def find(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) ->
     schema = f"doc_id {id_type}, item_id {item_type}, cosine double, common_share double, answer_found boolean"
     own = benchmark.select("item_id", "text").filter("text is not null")
     parts = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
-    model, found = None, []
+    idf, found = None, []
     for part in range(parts):
         rows = own.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
         items = [(r["item_id"], w) for r in rows if len((w := words_of(r["text"])).words)]
         if items:
-            if model is None:
+            if idf is None:
                 df, total = document_counts(docs)
-                share = min(1.0, SAMPLE_DOCS / max(total, 1))
-                drawn = docs.select("doc_id", "text").filter(F.xxhash64("doc_id") <= F.lit(hash_limit(share))).select("text")
-                model = written(drawn, "decontaminate-sample"), np.log((total + 1) / (df + 1)) + 0.05
-            found.append(search(docs, items, *model, schema))
+                idf = np.log((total + 1) / (df + 1)) + 0.05
+            found.append(search(docs, items, idf, schema))
     return functools.reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 

@@ -243,6 +243,15 @@ def test_latent_search_finds_what_a_search_of_all_passages_finds(spark, docs, sf
     assert sum(k in brute.get(n, ()) for n, (k, _) in enumerate(cases)) >= 0.8 * len(cases)
 
 
+def test_latent_space_hangs_on_no_sample_of_documents(spark):
+    rng = np.random.default_rng(5)
+    items = [(k, decontaminate.words_of(" ".join(f"term{i}" for i in rng.integers(0, 400, 40)))) for k in range(3)]
+    idf = np.ones(decontaminate.FEATURES)
+    one, two = (decontaminate.spaces_of(items, spark.createDataFrame([(t,)], "text string"), idf) for t in ("term1 term2 " * 200, "term3 other " * 200))
+    assert [s.basis.shape[1] for s in one] == [3]  # no dimension that holds no passage
+    assert all(np.array_equal(a.basis, b.basis) and np.array_equal(a.latent, b.latent) for a, b in zip(one, two))
+
+
 def test_benchmark_in_parts_gives_the_same_leaks(spark, docs, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = lambda part_bytes: sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench, part_bytes).collect())
