@@ -16,8 +16,9 @@ from batchwatch.functions.cells import (
     is_identifier,
     is_identifier_col,
     strip,
+    stripped_is_marker,
+    stripped_to_number,
     to_number,
-    without_markers,
 )
 
 # Spellings read as a boolean column, profile modes that carry no list of allowed values.
@@ -88,7 +89,7 @@ def column_class(dtype: Column) -> Column:
 
 
 def extract_schema(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """keys, column_name, dtype and the cell counts behind it, for all columns in one aggregate.
+    """keys, column_name, dtype and the cell counts behind it, for all columns in one pass.
 
     Typed columns keep their contract type. A text column is ``int`` when every cell is an integer and none is
     missing, ``bool`` when every cell is a boolean spelling and none is missing, ``float`` when every non-missing
@@ -96,32 +97,37 @@ def extract_schema(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[st
     """
     columns = [c for c in (columns or df.columns) if c not in keys]
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggregates, records = [F.count(F.lit(1)).alias("_rows")], []
+    is_text = [isinstance(types[c], T.StringType) for c in columns]
+    # One row for each cell: the same short code judges all columns, where an aggregate over all of them at once is too long to be compiled.
+    cells = []
+    for i, (name, text) in enumerate(zip(columns, is_text)):
+        raw, none = F.col(name), F.lit(None)
+        number = none if text else to_number(raw, types[name])
+        cells += [F.lit(i), raw if text else none.cast("string"), (none if text else raw.isNotNull()).cast("boolean"), number.cast("double")]
+    if not columns:
+        cells = [F.lit(-1), *[F.lit(None).cast(t) for t in ("string", "boolean", "double")]]
+    long = df.select(*keys, F.stack(F.lit(max(len(columns), 1)), *cells).alias("_i", "_raw", "_present", "_typed"))
+    trimmed = long.withColumn("_text", strip(F.col("_raw"))).withColumn("_number", F.coalesce("_typed", stripped_to_number(F.col("_text"))))
+    text, number = F.col("_text"), F.col("_number")
+    staged = trimmed.withColumn("_long", F.when(number.isNotNull() & text.rlike(INTEGER_PATTERN), text.try_cast("bigint").isNotNull()))
+    counted = staged.groupBy(*keys, "_i").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce("_present", text.isNotNull() & ~stripped_is_marker(text))).alias("p"), F.count(number).alias("n"),
+        F.count_if(number % 1 == 0).alias("i"), F.count_if("_long").alias("w"), F.count_if(~F.col("_long")).alias("d"),
+        F.count_if(text.isin(*BOOLEAN_SPELLINGS)).alias("b"),
+    )
+    found = F.map_from_entries(F.collect_list(F.struct("_i", F.struct("rows", "p", "n", "i", "w", "d", "b")))).alias("_c")
+    wide = counted.groupBy(*keys).agg(found)  # without keys one row, also of an empty table
+    records = []
     for i, name in enumerate(columns):
-        raw = F.col(name)
-        is_text = isinstance(types[name], T.StringType)
-        cell = without_markers(raw) if is_text else raw
-        number = to_number(raw, types[name])
-        if is_text:
-            whole = F.count_if(strip(cell).rlike(INTEGER_PATTERN) & strip(cell).try_cast("bigint").isNotNull())
-            flags = F.count_if(strip(cell).isin(*BOOLEAN_SPELLINGS))
-            aggregates.append(F.count_if(strip(cell).rlike(INTEGER_PATTERN) & strip(cell).try_cast("bigint").isNull()).alias(f"_d{i}"))
-        else:
-            whole = F.count_if(number % 1 == 0)
-            flags = F.lit(0)
-        aggregates += [
-            F.count(cell).alias(f"_p{i}"), F.count(number).alias(f"_n{i}"), whole.alias(f"_w{i}"),
-            F.count_if(number % 1 == 0).alias(f"_i{i}"), flags.cast("bigint").alias(f"_b{i}") if not is_text
-            else flags.alias(f"_b{i}"),
-        ]
-        present, rows = F.col(f"_p{i}"), F.col("_rows")
-        if is_text:
+        own = F.try_element_at("_c", F.lit(i))
+        rows, present, numbers, int_like, whole, digits, flags = (F.coalesce(own[c], F.lit(0)) for c in ("rows", "p", "n", "i", "w", "d", "b"))
+        if is_text[i]:
             dtype = (
                 F.when(present == 0, "object")
-                .when((F.col(f"_w{i}") == present) & (present == rows), "int")
-                .when((F.col(f"_b{i}") == present) & (present == rows), "bool")
-                .when(F.col(f"_d{i}") > 0, "object")  # digits that neither a long nor a double can hold
-                .when(F.col(f"_n{i}") == present, "float")
+                .when((whole == present) & (present == rows), "int")
+                .when((flags == present) & (present == rows), "bool")
+                .when(digits > 0, "object")  # digits that neither a long nor a double can hold
+                .when(numbers == present, "float")
                 .otherwise("object")
             )
         else:
@@ -129,12 +135,9 @@ def extract_schema(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[st
         records.append(
             F.struct(
                 F.lit(name).alias("column_name"), dtype.alias("dtype"), rows.alias("row_count"),
-                present.alias("present_count"), F.col(f"_n{i}").alias("numeric_count"),
-                F.col(f"_i{i}").alias("int_like_count"),
+                present.alias("present_count"), numbers.alias("numeric_count"), int_like.alias("int_like_count"),
             )
         )
-    constant = [a for a in aggregates]
-    wide = df.groupBy(*keys).agg(*constant) if keys else df.agg(*constant)
     return wide.select(*keys, F.inline(F.array(*records)))
 
 
