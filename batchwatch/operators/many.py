@@ -13,7 +13,7 @@ ignored; columns that the row lacks count as missing, not as an issue.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,18 +66,33 @@ def as_cells(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> Data
 
 def judged(text: Column, rule: Column) -> Column:
     """struct(value, issue) of one trimmed cell: its masked value as canonical text, and whether something was wrong with it."""
-    marker = stripped_is_marker(text)
-    number = stripped_to_number(text)
-    flag = to_boolean(text)
-    outside = F.coalesce((number < rule["lo"]) | (number > rule["hi"]), F.lit(False))
-    unseen = ~F.coalesce(F.array_contains(rule["allowed"], F.upper(text)), F.lit(False))
-    value = (
-        F.when(rule["kind"] == NUMBER, F.when(~outside, number.cast("string")))
-        .when(rule["kind"] == FLAG, flag.cast("string"))
-        .when(rule["kind"] == LISTED, F.when(~marker & ~unseen, text))
-        .otherwise(F.when(~marker, text))
+    kind = rule["kind"]
+    read = F.struct(
+        text.alias("text"), stripped_is_marker(text).alias("marker"), F.when(kind == NUMBER, stripped_to_number(text)).alias("number"),
+        F.when(kind == FLAG, to_boolean(text)).alias("flag"),
     )
-    return F.struct(value.alias("value"), (text.isNotNull() & value.isNull()).alias("issue"), (text.isNull() | marker).alias("missing"))
+
+    def masked(cell: Column) -> Column:
+        outside = F.coalesce((cell["number"] < rule["lo"]) | (cell["number"] > rule["hi"]), F.lit(False))
+        unseen = ~F.coalesce(F.array_contains(rule["allowed"], F.upper(cell["text"])), F.lit(False))
+        value = (
+            F.when(kind == NUMBER, F.when(~outside, cell["number"].cast("string")))
+            .when(kind == FLAG, cell["flag"].cast("string"))
+            .when(kind == LISTED, F.when(~cell["marker"] & ~unseen, cell["text"]))
+            .otherwise(F.when(~cell["marker"], cell["text"]))
+        )
+        return F.struct(cell["text"].alias("text"), cell["marker"].alias("marker"), value.alias("value"))
+
+    def result(cell: Column) -> Column:
+        missing = cell["text"].isNull() | cell["marker"]
+        return F.struct(cell["value"].alias("value"), (cell["text"].isNotNull() & cell["value"].isNull()).alias("issue"), missing.alias("missing"))
+
+    return given(given(read, masked), result)
+
+
+def given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read; inside a lambda Spark finds no common expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def with_rules(rows: DataFrame, table: DataFrame, key: str = "model_id") -> DataFrame:
@@ -159,12 +174,14 @@ def checks_by_model(flagged: DataFrame, keys: Sequence[str] = ("model_id",)) ->
     stats = cells.groupBy(*group).agg(
         F.count(F.lit(1)).alias("row_count"), (F.count(F.lit(1)) - F.count(seen)).alias("missing_count"), F.count(number).alias("_numbers"),
         F.min(number).alias("observed_min"), F.max(number).alias("observed_max"), F.count_if((number < rule["lo"]) | (number > rule["hi"])).alias("outside_count"),
-        F.any_value(rule).alias("rule"), F.count(unseen).alias("unseen_count"),
+        # only numbers and flags: a text or a list among the aggregates would make Spark sort all cells
+        F.any_value(rule["lo"]).alias("_lo"), F.any_value(rule["hi"]).alias("_hi"), F.any_value(rule["allowed"].isNotNull()).alias("_listed"),
+        F.count(unseen).alias("unseen_count"),
     )
     capped = cells.filter((F.size(rule["allowed"]) >= DEFAULTS.categorical_limit) & seen.isNotNull()).groupBy(*group, "seen").agg(F.count(F.lit(1)).alias("n"))
     wide = profile.cardinality(capped.withColumnRenamed("seen", "value"), keys).filter("high_cardinality").select(*group, F.lit(True).alias("_skip"))
     ratio, none = F.col("missing_count") / F.col("row_count"), lambda t: F.lit(None).cast(t)
-    spread = (F.col("observed_min"), F.col("observed_max"), rule["lo"], rule["hi"])
+    spread = (F.col("observed_min"), F.col("observed_max"), F.col("_lo"), F.col("_hi"))
 
     def record(kind: str, success: Column, bad: str, share: Column | None = None, numbers: Sequence[Column] = ()) -> Column:
         names = ("observed_min", "observed_max", "baseline_min", "baseline_max")
@@ -176,7 +193,7 @@ def checks_by_model(flagged: DataFrame, keys: Sequence[str] = ("model_id",)) ->
     records = F.array_compact(F.array(
         record("null_ratio", ratio <= DEFAULTS.null_ratio, "missing_count", ratio),
         F.when(F.col("_numbers") > 0, record("range", (spread[0] >= spread[2]) & (spread[1] <= spread[3]), "outside_count", numbers=spread)),
-        F.when(rule["allowed"].isNotNull() & F.col("_skip").isNull(), record("categorical", F.col("unseen_count") == 0, "unseen_count")),
+        F.when(F.col("_listed") & F.col("_skip").isNull(), record("categorical", F.col("unseen_count") == 0, "unseen_count")),
     ))
     return stats.join(wide, group, "left").select(*group, F.inline(records))
 

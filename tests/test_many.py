@@ -77,3 +77,12 @@ def test_a_hot_model_is_not_shuffled(spark, batch, trusted):
     flagged, _ = cells(spark, batch, trusted)
     plan = flagged._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cells_are_parsed_once_and_checks_need_no_sort(spark, batch, trusted):
+    flagged, _ = cells(spark, batch, trusted)
+    text = F.col("cells")["qty"]
+    judged = flagged.select(many.judged(text, F.col("rules")["qty"]).alias("j"))
+    assert judged._jdf.queryExecution().optimizedPlan().toString().split("Project")[1].count("RLIKE") == 1
+    plan = many.checks_by_model(flagged)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.split("observed_min")[0] and "any_value(rule#" not in plan
