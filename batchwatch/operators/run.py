@@ -57,7 +57,7 @@ def totals(checks: DataFrame, types: DataFrame, prefix: str) -> DataFrame:
 def run_batches(runs: DataFrame, rows: DataFrame, present: DataFrame, rules: Sequence[ColumnRule], keep: Sequence[str] = ()) -> BatchRun:
     """Takes the rows (run_id, cells) of all ``runs`` (run_id) through the pipeline. A run without rows fails at the gate."""
     diffs = column_diffs(runs, present, rules)
-    batch = aligned(rows, rules, keep)
+    batch = stored(aligned(rows, rules, keep), "batch")  # read by every check and by the cleaning; files or joins behind it are read once
     raw_checks, raw_types = validate.all_checks(batch, rules, [KEY]), validate.check_schema_types(batch, rules, [KEY])
     flagged = clean.flag_rows(batch, rules, keep=[*dict.fromkeys([KEY, *keep])])
     accepted = stored(clean.clean_batch(flagged, rules, keys=[KEY], keep=keep), "accepted")

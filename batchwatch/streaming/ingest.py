@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from batchwatch.operators import clean
 from batchwatch.operators.profile import ColumnRule
 from batchwatch.sources.sinks import write_by_run
+from batchwatch.sources.storage import stored
 from batchwatch.streaming import feeds
 
 # Outcome of a file in the ledger.
@@ -35,7 +36,8 @@ def ingest(stream: DataFrame, rules: Sequence[ColumnRule], work: str, keep: Sequ
     """
 
     def handle(df: DataFrame, epoch: int) -> None:
-        flagged = clean.flag_rows(df, rules, keep=["run_id", *keep])
+        # written once: fills, accepted rows, quarantine and audit would each read and parse the files again
+        flagged = stored(clean.flag_rows(df, rules, keep=["run_id", *keep]), "flagged")
         cleaned = clean.clean_batch(flagged, rules, keys=["run_id"], keep=keep)
         write_by_run(cleaned, f"{work}/accepted/epoch={epoch}")
         write_by_run(

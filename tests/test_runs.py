@@ -106,3 +106,17 @@ def test_files_that_cannot_be_read_get_a_ledger_row(spark, folder):
     assert {r: found[r]["status"] for r in found} == {"empty": "waiting", "blank": "unreadable", "odd": "unreadable", "twice": "unreadable", "bare": "failed", "fine": "success"}
     assert found["empty"]["blocking_reasons"] == ["File is missing or empty: 1.csv"] and found["blank"]["blocking_reasons"] == ["File is empty: 1.csv"] and found["odd"]["blocking_reasons"] == ["Unsupported file type: 1.xls"]
     assert found["bare"]["total_rows"] == 0 and found["fine"]["cleaned_rows"] == 20
+
+
+def test_rows_behind_a_run_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame([("good", *r) for r in SCENARIO], "run_id string, f0 string, f1 string, f2 string, f3 string")
+    result = run.run_batches(df.select("run_id").distinct(), df.withColumn("f0", costly("f0")), present(spark, ("good", NAMES)), RULES)
+    assert (by_run(result.runs)["good"]["cleaned_rows"], result.quarantined.count()) == (49, 4)
+    assert seen.value == len(SCENARIO)

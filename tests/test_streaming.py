@@ -4,9 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from batchwatch.operators.profile import ColumnRule
 from batchwatch.plans.views import base, view
 from batchwatch.sources import sinks
-from batchwatch.streaming import feeds
+from batchwatch.sources.storage import stored
+from batchwatch.streaming import feeds, ingest
 
 
 def split_stream(spark, tmp_path, df, files=5):
@@ -69,3 +71,13 @@ def test_partition_overwrite_keeps_other_runs(spark, tmp_path):
     assert sinks.read_run(spark, path, 1).count() == 5 and sinks.read_run(spark, path, 2).count() == 2
     plan = sinks.read_run(spark, path, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan
+
+
+def test_arriving_rows_are_flagged_once(spark, tmp_path, monkeypatch):
+    folder, kept = tmp_path / "in" / "a", []
+    folder.mkdir(parents=True)
+    (folder / "one.csv").write_text("k,qty\n1,5\n2,x\n")
+    monkeypatch.setattr(ingest, "stored", lambda df, name: kept.append((name, df.count())) or stored(df, name))
+    rules = [ColumnRule("qty", "float", "numeric", min=0.0, max=9.0)]
+    ledger = ingest.ingest(ingest.incoming(spark, str(tmp_path / "in"), ["k", "qty"]), rules, str(tmp_path / "work"), ["k"])
+    assert [tuple(r) for r in ledger.collect()] == [("a", 2, 1, 1, "processed")] and kept == [("flagged", 2)]
