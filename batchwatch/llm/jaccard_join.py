@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import free_name, written
+from batchwatch.llm.common import free_name, runs_of, written
 from batchwatch.llm.components import connected
 from batchwatch.llm.hashing import mixed, shingles
 
@@ -36,6 +36,8 @@ WORDS, PERCENT = 5, 75
 HOT = 64
 #: Largest block of a hub, in nodes and in shingles.
 BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
+#: Texts of so many bytes are cut into shingles at once.
+TEXT_BYTES = 2_000_000
 #: Text keys or ids up to this number are sent to all executors (tens of MB); beyond it the join shuffles.
 MOST_BROADCAST_IDS = 500_000
 
@@ -50,65 +52,57 @@ def node_of(tokens: np.ndarray) -> int:
         return int(mixed(np.array([mixed(tokens).sum() + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def node_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, hash of the text, node (null without words) and number of shingles of each row."""
+def demand(n: int) -> int:
+    """The lengthening of the first prefixes."""
+    return max(1, n // 32)
+
+
+def least_demand(n: Column, percent: int) -> Column:
+    """The smallest demand of a partner of a set of ``n``, which has at least ``percent`` of its shingles."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 32)).cast("long")
+
+
+def node_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, hash of the text, node (null without words), number of shingles and lengthened prefix in hash order of each row.
+    So all texts are cut into shingles once."""
     id_field = docs.select("doc_id").schema.fields[0].dataType.simpleString()
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64())],
-                names=["doc_id", "text_key", "node", "n"],
-            )
+            for start, number in runs_of(batch.column("text"), TEXT_BYTES):
+                part = batch.slice(start, number)
+                sets = [shingles(t.as_py(), words) for t in part.column("text")]
+                sizes, keys = list(map(len, sets)), [node_of(s) if len(s) else None for s in sets]
+                prefixes = [s[:n - least_overlap(n, percent) + demand(n)] if n else s for s, n in zip(sets, sizes)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(prefixes)],
+                    names=["doc_id", "text_key", "node", "n", "prefix"],
+                )
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return keyed.mapInArrow(nodes, f"doc_id {id_field}, text_key bigint, node bigint, n bigint")
+    return keyed.mapInArrow(nodes, f"doc_id {id_field}, text_key bigint, node bigint, n bigint, prefix array<bigint>")
 
 
-def demand(n: int) -> int:
-    """The lengthening of the first prefixes."""
-    return max(1, n // 32)
-
-
-def hash_prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, node, least): the lengthened prefix of each document in hash order. ``least`` is the smallest demand of a
-    partner, whose set has at least ``percent`` of the shingles."""
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, nodes, least = [], [], []
-            for t in batch.column("text"):
-                s = shingles(t.as_py(), words)
-                n = len(s)
-                if n:
-                    p = s[:n - least_overlap(n, percent) + demand(n)]
-                    tokens.append(p)
-                    nodes.append(np.full(len(p), node_of(s)))
-                    least.append(np.full(len(p), demand(least_overlap(n, percent))))
-                if sum(map(len, tokens)) > 200_000:
-                    yield _rows(token=tokens, node=nodes, least=least)
-                    tokens, nodes, least = [], [], []
-            if tokens:
-                yield _rows(token=tokens, node=nodes, least=least)
-
-    return docs.select("text").mapInArrow(prefixes, "token bigint, node bigint, least bigint")
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
 def _rows(**columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in columns.values()], names=list(columns))
 
 
-def alive_nodes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Nodes whose prefix has enough shingles that another document has, too."""
-    prefixes = hash_prefixes(docs, words, percent)
+def alive_nodes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``nodes`` whose prefix has enough shingles that another row has, too."""
+    prefixes = nodes.select("node", F.explode("prefix").alias("token"))
     shared = written(prefixes.groupBy("token").count().filter("count > 1").select("token"), "shared-shingles")
-    return prefixes.join(shared, "token").groupBy("node").agg(F.countDistinct("token").alias("k"), F.min("least").alias("least")).filter("k >= least").select("node")
+    found = prefixes.join(shared, "token").groupBy("node").agg(F.countDistinct("token").alias("k"))
+    return nodes.drop("prefix").join(found, "node").filter(F.col("k") >= least_demand(F.col("n"), percent)).drop("k")
 
 
 def alive_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, copies, n, tokens) of the nodes that may have partners of another node, each once."""
-    alive = nodes.join(alive_nodes(docs, words, percent), "node", "left_semi")
+    alive = alive_nodes(nodes, percent)
     # a node is fetched by one of its texts, whether or not its rows have ids
     members = written(alive.groupBy("node").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies")), "alive-nodes")
     keys = members.select("text_key").distinct()
@@ -118,18 +112,17 @@ def alive_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> D
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task reads equal texts once
         for batch in batches:
-            found = []
-            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text")):
-                if key not in seen:
-                    seen.add(key)
-                    found.append(shingles(text.as_py(), words))
-            found = [s for s in found if len(s)]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["node", "n", "tokens"],
-            )
+            keys = batch.column("text_key").to_pylist()
+            for start, number in runs_of(batch.column("text"), TEXT_BYTES):
+                found = []
+                for k in range(start, start + number):
+                    if keys[k] not in seen:
+                        seen.add(keys[k])
+                        found.append(shingles(batch.column("text")[k].as_py(), words))
+                found = [s for s in found if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(s) for s in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), _lists(found)], names=["node", "n", "tokens"],
+                )
 
     keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
     own = keyed.join(keys, "text_key", "left_semi").mapInArrow(sets, "node bigint, n bigint, tokens array<bigint>")
@@ -239,7 +232,7 @@ def block_links(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, label, n_shingles, component_id and n_links, one row for each row of ``docs``. ``label`` names the
     class, null without words."""
-    nodes = written(node_table(docs, words), "nodes")
+    nodes = written(node_table(docs, words, percent), "nodes")
     sets = written(alive_sets(docs, nodes.filter("node is not null"), words, percent), "sets")
     rows = written(prefix_rows(sets, percent), "prefixes")
     links = written(verified(candidate_pairs(rows), sets, percent), "links")

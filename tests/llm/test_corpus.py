@@ -69,6 +69,14 @@ def test_join_of_a_large_family(spark):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_join(rows)
 
 
+def test_texts_are_cut_into_shingles_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TEXT_BYTES", 100)  # a few texts at a time
+    nodes = jaccard_join.node_table(docs).filter("node is not null").localCheckpoint()
+    alive = jaccard_join.alive_nodes(nodes)
+    assert "MapInArrow" not in alive._jdf.queryExecution().optimizedPlan().toString() and 0 < alive.count() < nodes.count()
+    assert joined(docs) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_one_of_each_class_stays(edge):
     kept = jaccard_join.first_of_each(edge)
     ids = sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect())
