@@ -225,6 +225,16 @@ def test_tries_burst_and_spill_sorted():
     assert rows == sorted(rows) and ("en", "a b c", 2) in rows and ("en", "c e a", 1) not in rows and not counter.entries
 
 
+@pytest.mark.parametrize("data", [b"", b" \t", b".", b"a", b"..a b.\tc\xc3\xa9 \x01d . a", b"a.b.c  "])
+def test_words_by_offsets(data):
+    want = data.replace(b".", b" . ").split()
+    found = phrases.split(data)
+    assert phrases.bytes_of(found) == found.to_pylist() == want
+    counter = phrases.Counter(1, phrases.Limits(), None)
+    numbers = counter.numbers_of(found)
+    assert [counter.words[k] or b"." for k in numbers] == want and len(counter.hashes) == len(counter.words)
+
+
 def test_filter_drops_phrases_with_rare_parts(spark):
     docs = spark.createDataFrame([("a b c. " * 10 + "a b d. e b c. b c a", "en")], "text string, lang string")
     words = phrases.filter_of(spark.createDataFrame([("en", w) for w in "abc"], "lang string, phrase string"))
