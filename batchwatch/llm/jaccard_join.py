@@ -3,7 +3,7 @@
 Equal shingle sets are one node. A partner of a set of n shingles shares at least t = ceil(0.75 n) of them, so among the first
 n - t + l shingles of both sets, in any common order, there are at least l common ones (l of the smaller demand).
 
-1. *Alive nodes.* In the order of the hashes, prefixes lengthened by l ~ n / 32 are counted by shingle. A node with fewer than l
+1. *Alive nodes.* In the order of the hashes, prefixes lengthened by l ~ n / 32 are stored with the nodes and counted by shingle. A node with fewer than l
    shingles that a second document has in its prefix has no partner; most of a corpus ends here.
 2. *Prefixes.* The shingles of the alive nodes are ordered by document frequency, rarest first. Each node picks the l that makes its
    estimated cost lowest: rows to match (sum of the frequencies in the prefix) plus candidates to verify (that sum over l).
