@@ -4,9 +4,9 @@ Equal shingle sets are one node. A partner of a set of n shingles shares at leas
 n - t + l shingles of both sets, in any common order, there are at least l common ones (l of the smaller demand).
 
 1. *Alive nodes.* In the order of the hashes, prefixes lengthened by l ~ n / 32 are stored with the nodes and counted by shingle. A node with fewer than l
-   shingles that a second document has in its prefix has no partner; most of a corpus ends here.
-2. *Prefixes.* The shingles of the alive nodes are ordered by document frequency, rarest first. Each node picks the l that makes its
-   estimated cost lowest: rows to match (sum of the frequencies in the prefix) plus candidates to verify (that sum over l).
+   shingles that a second node has in its prefix has no partner; most of a corpus ends here.
+2. *Prefixes.* The shingles of the alive nodes are ordered by document frequency, rarest first (shingles travel once, as packed
+   32-bit parts of their hashes by bucket, and their frequencies back). Each node picks the l that makes its estimated cost lowest: rows to match (sum of the frequencies in the prefix) plus candidates to verify (that sum over l).
 3. *Candidates.* Pairs that share a prefix shingle of at most ``HOT`` nodes are joined, counted and verified if they share enough.
    A prefix reaches a hotter shingle only where nearly all of a set is common: these nodes are joined to hubs, and each pair of a hub's
    blocks (of bounded size) is verified in one task, which returns link counts and a spanning forest, never the pairs.
@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import free_name, runs_of, written
+from batchwatch.llm.common import cut_runs, free_name, runs_of, written
 from batchwatch.llm.components import connected
-from batchwatch.llm.hashing import mixed, shingles
+from batchwatch.llm.hashing import U, mixed, shingles
 
 WORDS, PERCENT = 5, 75
 #: A prefix shingle of more nodes than this is matched through hubs.
@@ -38,6 +39,10 @@ HOT = 64
 BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
 #: Texts of so many bytes are cut into shingles at once.
 TEXT_BYTES = 2_000_000
+#: Shingles of one group of a shuffle by shingle, and of one step that fills the groups.
+BUCKET_TOKENS, SLICE_TOKENS = 1_000_000, 500_000
+#: Frequencies of shingles are counted up to this number.
+MOST_DF = 1024
 #: Text keys or ids up to this number are sent to all executors (tens of MB); beyond it the join shuffles.
 MOST_BROADCAST_IDS = 500_000
 
@@ -92,41 +97,113 @@ def _rows(**columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in columns.values()], names=list(columns))
 
 
+def buckets_for(tokens: int | None) -> int:
+    """Number of groups by shingle: of ``BUCKET_TOKENS`` each, and so many that small inputs keep all cores busy."""
+    tokens = tokens or 0
+    return max(1, -(-tokens // BUCKET_TOKENS), min(64, tokens // 50_000))
+
+
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(x)))
+
+
+def packed(rows: DataFrame, column: str, buckets: int, most: int) -> DataFrame:
+    """The shingles in ``column`` by buckets of their hash, ``SLICE_TOKENS`` of them a step: each row holds nodes, how many shingles of
+    each follow and 32 bits of these (``home`` fixes about as many as there are buckets). A shingle that more than ``most`` nodes of a step
+    have is sent for ``most`` of them; for the others it is ``done`` and goes anywhere, so that no bucket gets all nodes.
+    Two shingles of a bucket may share their 32 bits: they are counted together, which costs candidates but loses none."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, number in cut_runs(pc.list_value_length(batch.column(column)), SLICE_TOKENS):
+                part = batch.slice(start, number)
+                node, first = np.unique(part.column("node").to_numpy(), return_index=True)
+                part = part.take(pa.array(first))
+                sizes = pc.list_value_length(part.column(column)).to_numpy()
+                n = part.column("n").to_numpy().astype(np.uint32)
+                token = part.column(column).flatten().to_numpy().view(np.uint64)
+                order = np.argsort(token, kind="stable")
+                at, count = _starts(token[order])
+                done = np.zeros(len(token), bool)
+                done[order[np.arange(len(token)) - np.repeat(at, count) >= most]] = True
+                # prefixes hold the low hashes, so the upper bits would not spread them
+                home = ((token & U(0xFFFFFFFF)) * U(buckets) >> U(32)).astype(np.int64)
+                key, owner = (token >> U(32)).astype(np.uint32), np.repeat(np.arange(len(node)), sizes)
+                out: list[tuple] = []
+                for over in (False, True):
+                    mine = np.flatnonzero(done == over)
+                    mine = mine[np.argsort(home[mine].astype(np.int32), kind="stable")]
+                    for a, size in zip(*_starts(home[mine])):
+                        own = mine[a:a + size]
+                        begin, counts = _starts(owner[own])
+                        who = owner[own[begin]]
+                        place = int(home[own[0]])
+                        out.append((
+                            (place + int(node[who[0]] % buckets)) % buckets if over else place, place, over, node[who].tobytes(),
+                            counts.astype(np.uint32).tobytes(), n[who].tobytes(), key[own].tobytes(),
+                        ))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["bucket", "home", "done", "nodes", "counts", "sizes", "keys"])
+
+    return rows.select("node", "n", column).mapInArrow(pack, "bucket bigint, home bigint, done boolean, nodes binary, counts binary, sizes binary, keys binary")
+
+
+def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(column)), kind)
+
+
 def alive_nodes(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``nodes`` whose prefix has enough shingles that another row has, too."""
-    prefixes = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = written(prefixes.groupBy("token").count().filter("count > 1").select("token"), "shared-shingles")
-    found = prefixes.join(shared, "token").groupBy("node").agg(F.countDistinct("token").alias("k"))
-    return nodes.drop("prefix").join(found, "node").filter(F.col("k") >= least_demand(F.col("n"), percent)).drop("k")
+    """The rows of ``nodes`` whose prefix has enough shingles that another node has, too."""
+    total = (nodes.agg(F.sum("n")).first()[0] or 0) * (132 - percent) // 128  # a little more than the prefixes hold
+
+    def shared(table: pa.Table) -> pa.Table:
+        sent, over = (table.filter(pc.equal(table.column("done"), x)) for x in (False, True))
+        node, at = np.unique(_joined(sent, "nodes", np.int64), return_inverse=True)
+        pairs = _joined(sent, "keys", np.uint32).astype(np.uint64) << U(32) | np.repeat(at, _joined(sent, "counts", np.uint32)).astype(np.uint64)
+        pairs.sort()
+        begin, size = _starts(pairs >> U(32))
+        different = np.add.reduceat(np.concatenate([[True], pairs[1:] != pairs[:-1]]).astype(np.int64), begin) if len(pairs) else size
+        owner = (pairs & U(0xFFFFFFFF)).astype(np.int64)[np.repeat(different > 1, size)]
+        k = np.bincount(owner, minlength=len(node))
+        some = np.flatnonzero(k)
+        return pa.table({
+            "node": np.concatenate([node[some], _joined(over, "nodes", np.int64)]),
+            "k": np.concatenate([k[some], _joined(over, "counts", np.uint32).astype(np.int64)]),
+        })
+
+    # with two nodes of each step, a shingle is known to be shared
+    found = packed(nodes, "prefix", buckets_for(total), 2).drop("sizes", "home").groupBy("bucket").applyInArrow(shared, "node bigint, k bigint")
+    enough = written(found.groupBy("node").agg(F.sum("k").alias("k")), "shared-shingles")
+    return nodes.drop("prefix").join(enough, "node").filter(F.col("k") >= least_demand(F.col("n"), percent)).drop("k")
 
 
 def alive_sets(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, copies, n, tokens) of the nodes that may have partners of another node, each once."""
+    """(node, copies, n, tokens) of the nodes that may have partners of another node, each once, as a written table."""
     alive = alive_nodes(nodes, percent)
-    # a node is fetched by one of its texts, whether or not its rows have ids
-    members = written(alive.groupBy("node").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies")), "alive-nodes")
-    keys = members.select("text_key").distinct()
-    if members.count() <= MOST_BROADCAST_IDS:
+    # a node is fetched by one of its rows, whether or not that has an id
+    members = written(alive.groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("f"), F.count(F.lit(1)).alias("copies")), "alive-nodes")
+    keys, number = members.select(F.col("f.text_key").alias("k"), F.col("f.doc_id").alias("d"), "copies"), members.count()
+    if number <= MOST_BROADCAST_IDS:
         keys = F.broadcast(keys)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task reads equal texts once
         for batch in batches:
-            keys = batch.column("text_key").to_pylist()
             for start, number in runs_of(batch.column("text"), TEXT_BYTES):
-                found = []
-                for k in range(start, start + number):
-                    if keys[k] not in seen:
-                        seen.add(keys[k])
-                        found.append(shingles(batch.column("text")[k].as_py(), words))
-                found = [s for s in found if len(s)]
+                part = batch.slice(start, number)
+                found = [shingles(t.as_py(), words) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_of(s) for s in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), _lists(found)], names=["node", "n", "tokens"],
+                    [pa.array([node_of(s) for s in found], pa.int64()), part.column("copies"), pa.array(list(map(len, found)), pa.int64()), _lists(found)],
+                    names=["node", "copies", "n", "tokens"],
                 )
 
-    keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
-    own = keyed.join(keys, "text_key", "left_semi").mapInArrow(sets, "node bigint, n bigint, tokens array<bigint>")
-    return members.select("node", "copies").join(own.dropDuplicates(["node"]), "node")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    same = (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    own = keyed.join(keys, same).select("text", "copies").mapInArrow(sets, "node bigint, copies bigint, n bigint, tokens array<bigint>")
+    found = written(own, "sets")
+    # only rows repeated as a whole are fetched more than once; without them the sets need no shuffle
+    return found if found.count() == number else written(found.dropDuplicates(["node"]), "sets-once")
 
 
 def choose_prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
@@ -143,24 +220,61 @@ def choose_prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, df, l, hot): prefixes in the order of frequency; ``hot`` counts a prefix's hot shingles."""
-    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-    live = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
-    ordered = tokens.join(live, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("live"))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {k: [np.zeros(0, np.int64)] for k in ("token", "node", "df", "l", "hot")}
-            for node, n, live in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("live")):
-                df = live.values.field("df").to_numpy()
-                length, least = choose_prefix(n, df, percent)
-                if length:
-                    df, fill = df[:length], lambda x, k=length: np.full(k, x, np.int64)
-                    for k, v in zip(out, (live.values.field("token").to_numpy()[:length], fill(node), df, fill(least), fill(int((df > HOT).sum())))):
-                        out[k].append(v)
-            yield _rows(**out)
-
-    return ordered.mapInArrow(prefixes, "token bigint, node bigint, df bigint, l bigint, hot bigint")
+    """(token, node, df, l, hot): prefixes in the order of frequency; ``hot`` counts a prefix's hot shingles. Frequencies end at ``MOST_DF``;
+    a token is a shingle's bucket and its 32 bits there."""
+    buckets = buckets_for(sets.agg(F.sum("n")).first()[0])
+    kinds = {"nodes": np.int64, "counts": np.uint32, "sizes": np.uint32, "keys": np.uint32, "dfs": np.uint16}
+
+    def frequencies(table: pa.Table) -> pa.Table:
+        sent, over = (table.filter(pc.equal(table.column("done"), x)) for x in (False, True))
+        counts, keys = _joined(sent, "counts", np.uint32), _joined(sent, "keys", np.uint32)
+        order = np.argsort(keys, kind="stable")
+        begin, size = _starts(keys[order])
+        df = np.empty(len(keys), np.uint16)
+        df[order] = np.repeat(np.minimum(size, MOST_DF), size)
+        out = []
+        if len(sent):
+            live = df > 1
+            left = np.add.reduceat(live.astype(np.int64), np.cumsum(counts, dtype=np.int64) - counts)
+            out.append((sent.column("home")[0].as_py(), _joined(sent, "nodes", np.int64), left, _joined(sent, "sizes", np.uint32), keys[live], df[live]))
+        for k in range(len(over)):
+            row = over.slice(k, 1)
+            keys = _joined(row, "keys", np.uint32)
+            out.append((row.column("home")[0].as_py(), *(_joined(row, c, kinds[c]) for c in ("nodes", "counts", "sizes")), keys, np.full(len(keys), MOST_DF, np.uint16)))
+        rows = []
+        for home, nodes, counts, sizes, keys, dfs in out:
+            to = (nodes.view(np.uint64) >> U(32)) * U(buckets) >> U(32)
+            entry = np.argsort(np.repeat(to, counts), kind="stable")
+            order = np.argsort(to, kind="stable")
+            order = order[counts[order] > 0]
+            ends = np.cumsum(counts[order], dtype=np.int64)
+            for a, size in zip(*_starts(to[order])):
+                who, part = order[a:a + size], entry[ends[a] - counts[order[a]]:ends[a + size - 1]]
+                rows.append((int(to[who[0]]), home, *(x.tobytes() for x in (nodes[who], counts[who].astype(np.uint32), sizes[who], keys[part], dfs[part]))))
+        names = ["to", "home", *kinds]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * len(kinds)]
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(zip(names, types))})
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        nodes, counts, sizes, keys, dfs = (_joined(table, c, t) for c, t in kinds.items())
+        home = np.repeat(table.column("home").to_numpy(), [len(x.as_py()) // 4 for x in table.column("keys")])
+        token, node = home << 32 | keys.astype(np.int64), np.repeat(nodes, counts)
+        order = np.lexsort((token, dfs, node))
+        token, df, n = token[order], dfs[order].astype(np.int64), np.repeat(sizes, counts)[order]
+        out = {k: [np.zeros(0, np.int64)] for k in ("token", "node", "df", "l", "hot")}
+        for a, size in zip(*_starts(node[order])):
+            own = df[a:a + size]
+            length, least = choose_prefix(int(n[a]), own, percent)
+            if length:
+                own, fill = own[:length], lambda x, k=length: np.full(k, x, np.int64)
+                for k, v in zip(out, (token[a:a + length], fill(node[order[a]]), own, fill(least), fill(int((own > HOT).sum())))):
+                    out[k].append(v)
+        return pa.Table.from_batches([_rows(**out)])
+
+    found = packed(sets, "tokens", buckets, MOST_DF).groupBy("bucket").applyInArrow(
+        frequencies, "to bigint, home bigint, nodes binary, counts binary, sizes binary, keys binary, dfs binary"
+    )
+    return found.groupBy("to").applyInArrow(prefixes, "token bigint, node bigint, df bigint, l bigint, hot bigint")
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -233,7 +347,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """doc_id, text_key, label, n_shingles, component_id and n_links, one row for each row of ``docs``. ``label`` names the
     class, null without words."""
     nodes = written(node_table(docs, words, percent), "nodes")
-    sets = written(alive_sets(docs, nodes.filter("node is not null"), words, percent), "sets")
+    sets = alive_sets(docs, nodes.filter("node is not null"), words, percent)
     rows = written(prefix_rows(sets, percent), "prefixes")
     links = written(verified(candidate_pairs(rows), sets, percent), "links")
     edges = links.select("a", "b")

@@ -77,6 +77,34 @@ def test_texts_are_cut_into_shingles_once(spark, docs, monkeypatch):
     assert joined(docs) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_copies_alone_keep_no_node_alive(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([a, a, a, b])], "doc_id long, text string")
+    assert jaccard_join.alive_nodes(jaccard_join.node_table(docs)).count() == 0
+    assert joined(docs) == [(0, 56, 0, 2), (1, 56, 0, 2), (2, 56, 0, 2), (3, 56, 3, 0)]
+
+
+@pytest.mark.parametrize("most", [2, 1024])
+def test_shingles_in_small_buckets_and_steps(spark, docs, monkeypatch, most):
+    """Common lines, families and copies over many buckets and steps; frequent shingles are not sent for every node."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 300)
+    monkeypatch.setattr(jaccard_join, "SLICE_TOKENS", 1000)
+    monkeypatch.setattr(jaccard_join, "MOST_DF", most)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
+    line = " ".join(f"c{i}" for i in range(12))
+    rows += [(1000 + k, f"{line} " + " ".join(f"w{k // 8}_{i}" for i in range(50)) + f" u{k % 8} u{k % 4}") for k in range(64)]
+    found = spark.createDataFrame(rows + rows[-4:], "doc_id long, text string").repartition(5)
+    assert joined(found) == brute_join(rows + rows[-4:])
+
+
+def test_frequent_shingles_reach_no_bucket_for_every_node(spark):
+    rows = [(n, 40, [5, 7, 100 + n]) for n in range(300)]
+    packed = jaccard_join.packed(spark.createDataFrame(rows, "node long, n long, prefix array<long>").coalesce(1), "prefix", 50, 2)
+    sent = packed.selectExpr("done", "length(keys) / 4 AS k").groupBy("done").sum("k").collect()
+    assert dict(map(tuple, sent)) == {False: 300 + 2 * 2, True: 2 * 298}
+
+
 def test_one_of_each_class_stays(edge):
     kept = jaccard_join.first_of_each(edge)
     ids = sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect())
