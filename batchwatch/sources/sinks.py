@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,13 @@ def write_by_run(df: DataFrame, path: str, run: str = "run_id") -> None:
 
 
 def read_run(spark: SparkSession, path: str, run: object, column: str = "run_id") -> DataFrame:
-    """One run's accepted rows: only that run's folder is read."""
+    """One run's accepted rows: only that run's folder is listed and read. A run whose folder may have another name than its
+    plain value (or has none) is looked for among all folders."""
+    if (isinstance(run, int) and not isinstance(run, bool)) or (isinstance(run, str) and re.fullmatch(r"[A-Za-z][\w-]*", run, re.ASCII)):
+        try:
+            return spark.read.option("basePath", path).parquet(f"{path}/{column}={run}").filter(F.col(column) == run)
+        except AnalysisException:  # no such folder, or none with files
+            pass
     return spark.read.parquet(path).filter(F.col(column) == run)
 
 

@@ -73,6 +73,18 @@ def test_partition_overwrite_keeps_other_runs(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in plan
 
 
+def test_reading_a_run_lists_its_folder_only(spark, tmp_path):
+    path = str(tmp_path / "acc")
+    for kind, runs in (("int", [1, 2, 3]), ("str", ["a", "b c", "d=e", "7", "x-1"])):
+        rows = spark.createDataFrame([(run, k) for run in runs for k in range(len(str(run)) + 1)], "run_id %s, k int" % kind.replace("str", "string"))
+        sinks.write_by_run(rows, f"{path}/{kind}")
+        for run in runs:
+            assert sorted(r["k"] for r in sinks.read_run(spark, f"{path}/{kind}", run).collect()) == list(range(len(str(run)) + 1))
+        assert sinks.read_run(spark, f"{path}/{kind}", 99 if kind == "int" else "none").count() == 0
+    assert all("/run_id=2/" in f for f in sinks.read_run(spark, f"{path}/int", 2).inputFiles())
+    assert all("/run_id=x-1/" in f for f in sinks.read_run(spark, f"{path}/str", "x-1").inputFiles())
+
+
 def test_arriving_rows_are_flagged_once(spark, tmp_path, monkeypatch):
     folder, kept = tmp_path / "in" / "a", []
     folder.mkdir(parents=True)
