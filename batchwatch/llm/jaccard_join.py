@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwatch.llm.common import cut_runs, free_name, runs_of, written
+from batchwatch.llm.common import cut_runs, free_name, runs_of, small_batches, written
 from batchwatch.llm.components import connected
 from batchwatch.llm.hashing import U, mixed, shingles
 
@@ -346,6 +346,7 @@ def block_links(hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, label, n_shingles, component_id and n_links, one row for each row of ``docs``. ``label`` names the
     class, null without words."""
+    small_batches(docs.sparkSession)
     nodes = written(node_table(docs, words, percent), "nodes")
     sets = alive_sets(docs, nodes.filter("node is not null"), words, percent)
     rows = written(prefix_rows(sets, percent), "prefixes")

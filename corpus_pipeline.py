@@ -11,36 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchwatch.llm import bpe, decontaminate, jaccard_join, language, secrets
-from batchwatch.llm.common import ship, table, written
+from batchwatch.llm.common import ship, small_batches, table, written
+
+
+def ready(spark: SparkSession) -> None:
+    """The executors run all stages in the same processes, so what one stage takes stays taken in the next ones."""
+    ship(spark)
+    small_batches(spark)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null, or no letter) go."""
-    ship(spark)
+    ready(spark)
     return language.accepted(docs, language.learn(docs))
 
 
 def keep_first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest id."""
-    ship(spark)
+    ready(spark)
     return jaccard_join.first_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark`` go."""
-    ship(spark)
+    ready(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text become the name of their kind; ``n_chars`` follows the text."""
-    ship(spark)
+    ready(spark)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids of the text, their number and the hash of the text that they decode to."""
-    ship(spark)
+    ready(spark)
     return bpe.round_trip(docs).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -41,3 +42,18 @@ def test_pipeline_takes_odd_tables(request, spark, sf_dir, source):
     got = stages(spark, docs, sf_dir)
     assert got["tokens"].count() == (0 if source == "empty" else got["secrets"].count())
     assert all(got[n].columns == docs.columns for n in list(got)[:-1])
+
+
+def test_long_texts_reach_workers_in_small_batches(spark, empty, sf_dir):
+    def sizes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    for named, most in ((None, 9_000_000), ("1m", 2_000_000)):
+        session = spark.newSession()
+        if named:
+            session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", named)
+        corpus_pipeline.keep_first_of_class(session, session.createDataFrame([], empty.schema), sf_dir).collect()
+        texts = session.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('0123456789', 1000) as text")
+        sizes = [r["size"] for r in texts.mapInArrow(sizes_of, "size bigint").collect()]
+        assert sum(sizes) >= 30_000_000 and max(sizes) <= most
