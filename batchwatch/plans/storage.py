@@ -42,7 +42,7 @@ def _write_cleaned(spark, sf_dir):
     many = flagged(spark, sf_dir, (*KEYS, "l_suppkey"))
     cleaned = clean.clean_batch(many, rules(spark, sf_dir), keep=(*KEYS, "l_suppkey"))
     path = fresh_path(spark, "accepted")
-    sinks.write_by_run(cleaned.withColumnRenamed("l_suppkey", "run_id"), path)
+    sinks.write_by_run(cleaned.withColumnRenamed("l_suppkey", "run_id"), path, shared=True)
     return path
 
 

@@ -6,36 +6,65 @@ import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchwatch.functions.cells import finite
+from batchwatch.sources.storage import stored
 
+# Stores on disk are laid out by them.
+FOLDER, FOLDERS = "run_folder", 256
 
-def write_by_run(df: DataFrame, path: str, run: str = "run_id") -> None:
+
+def write_by_run(df: DataFrame, path: str, run: str = "run_id", shared: bool = False) -> None:
     """Parquet partitioned by run; a rerun replaces only the runs it holds.
 
     The rebalance hint lets Spark split a run that is far larger than the rest and merge tiny ones, so files
-    stay of even size however rows are spread over runs.
+    stay of even size however rows are spread over runs. Every run has its folder. In a ``shared`` store the runs are
+    dealt to ``FOLDERS`` folders by their hash and lie sorted in the files, so that the number of files follows the bytes and not the
+    number of runs; the run is a column of the files there. A store is shared in all its writes or in none, and a shared one has one
+    writer at a time, as a rerun also writes the runs in the same folders again.
     """
-    (
-        df.hint("rebalance", run)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(run)
-        .parquet(path)
-    )
+    if shared:
+        # the same hash as that of the folder: a piece holds one folder until small ones are merged
+        dealt = _with_neighbours(df, path, run).withColumn("_run", F.col(run).cast("string")).hint("rebalance", FOLDERS, "_run")
+        rows, folder = dealt.withColumn(FOLDER, _folder(F.col("_run"))).drop("_run").sortWithinPartitions(FOLDER, run), FOLDER
+    else:
+        rows, folder = df.hint("rebalance", run), run
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(path)
+
+
+def _folder(run: Column) -> Column:
+    return F.pmod(F.hash(run.cast("string")), F.lit(FOLDERS))
+
+
+def _with_neighbours(df: DataFrame, path: str, run: str) -> DataFrame:
+    """The rows and, of a shared store that is there already, those of all other runs in the folders that the rows go to."""
+    try:
+        there = df.sparkSession.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException:  # nothing there yet
+        return df
+    df = stored(df, "rerun")
+    runs = df.select(F.col(run).alias("_run")).distinct()
+    folders = [r[0] for r in runs.select(_folder(F.col("_run"))).distinct().collect()]  # at most FOLDERS numbers
+    others = there.filter(F.col(FOLDER).isin(folders)).join(runs, F.col(run).eqNullSafe(F.col("_run")), "left_anti")
+    return df.unionByName(others.drop(FOLDER), allowMissingColumns=True)
 
 
 def read_run(spark: SparkSession, path: str, run: object, column: str = "run_id") -> DataFrame:
-    """One run's accepted rows: only that run's folder is listed and read. A run whose folder may have another name than its
-    plain value (or has none) is looked for among all folders."""
+    """One run's accepted rows: only that run's folder, or the one that it shares, is listed and read. A run whose folder may have
+    another name than its plain value (or has none) is looked for among all folders."""
+    inside = spark.read.option("basePath", path)
     if (isinstance(run, int) and not isinstance(run, bool)) or (isinstance(run, str) and re.fullmatch(r"[A-Za-z][\w-]*", run, re.ASCII)):
         try:
-            return spark.read.option("basePath", path).parquet(f"{path}/{column}={run}").filter(F.col(column) == run)
+            return inside.parquet(f"{path}/{column}={run}").filter(F.col(column) == run)
         except AnalysisException:  # no such folder, or none with files
             pass
-    return spark.read.parquet(path).filter(F.col(column) == run)
+    try:
+        folder = spark.range(1).select(_folder(F.lit(run))).first()[0]
+        return inside.parquet(f"{path}/{FOLDER}={folder}").filter(F.col(column) == run).drop(FOLDER)
+    except AnalysisException:  # no shared store, or no run in that folder
+        return spark.read.parquet(path).filter(F.col(column) == run).drop(FOLDER)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -1,10 +1,12 @@
 """Streams over several files and micro-batches give what their batch forms give."""
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from batchwatch.operators.profile import ColumnRule
+from batchwatch.plans import storage as storage_plans
 from batchwatch.plans.views import base, view
 from batchwatch.sources import sinks
 from batchwatch.sources.storage import stored
@@ -85,6 +87,54 @@ def test_reading_a_run_lists_its_folder_only(spark, tmp_path):
     assert all("/run_id=x-1/" in f for f in sinks.read_run(spark, f"{path}/str", "x-1").inputFiles())
 
 
+def test_runs_of_a_shared_store_share_files(spark, tmp_path):
+    path, runs = str(tmp_path / "acc"), 3 * sinks.FOLDERS
+    rows = spark.range(4 * runs).select((F.col("id") % runs).alias("run_id"), F.col("id").alias("k"))
+    sinks.write_by_run(rows.union(spark.sql("SELECT CAST(NULL AS BIGINT), 9L")), path, shared=True)
+    files = [f for f in os.listdir(path) if "=" in f for f in os.listdir(f"{path}/{f}") if f.endswith(".parquet")]
+    assert len(files) <= sinks.FOLDERS
+    found = sinks.read_run(spark, path, 7)
+    assert found.columns == ["run_id", "k"] and sorted(map(tuple, found.collect())) == [(7, 7 + i * runs) for i in range(4)]
+    assert len({os.path.dirname(f) for f in found.inputFiles()}) == 1
+    assert sinks.read_run(spark, path, runs).count() == 0 and spark.read.parquet(path).filter("run_id IS NULL").count() == 1
+    assert spark.read.parquet(path).count() == 4 * runs + 1
+    placed = spark.read.parquet(path).groupBy("run_id").agg(F.count_distinct("run_folder").alias("n"))
+    assert placed.filter("n > 1").count() == 0
+
+
+def test_files_of_cleaned_runs_do_not_grow_with_the_runs(spark, tmp_path):
+    spark.range(1200).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id % 600 AS l_suppkey", "id % 50 + 1D AS l_quantity", "id % 11 / 100D AS l_discount",
+        "substr('ANR', cast(id % 3 + 1 AS int), 1) AS l_returnflag", "if(id % 2 = 0, 'O', 'F') AS l_linestatus",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    path = storage_plans._write_cleaned(spark, str(tmp_path))
+    assert len(spark.read.parquet(path).inputFiles()) <= 256  # 600 runs
+    kept = storage_plans.flagged(spark, str(tmp_path), ("l_orderkey", "l_suppkey")).filter("NOT is_quarantined")
+    want = sorted(r["l_orderkey"] for r in kept.filter("l_suppkey = 7").collect())
+    assert spark.read.parquet(path).count() == kept.count()
+    assert sorted(r["l_orderkey"] for r in sinks.read_run(spark, path, 7).collect()) == want and len(want) > 0
+
+
+def test_a_rerun_in_a_shared_store_keeps_the_runs_beside_it(spark, tmp_path):
+    path, runs = str(tmp_path / "acc"), 3 * sinks.FOLDERS
+    rows = spark.range(2 * runs).select((F.col("id") % runs).alias("run_id"), F.col("id").alias("k"))
+    sinks.write_by_run(rows.union(rows.filter("k = 5")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 9L")), path, shared=True)
+    sinks.write_by_run(spark.createDataFrame([(7, -1, "x"), (runs, -2, "y"), (None, -3, "z")], "run_id long, k long, note string"), path, shared=True)
+    want = [(i, i + j * runs, None) for i in range(runs) if i != 7 for j in range(2)] + [(5, 5, None), (7, -1, "x"), (runs, -2, "y"), (None, -3, "z")]
+    key = lambda r: tuple((v is None, v) for v in r)
+    got = spark.read.option("mergeSchema", "true").parquet(path).select("run_id", "k", "note")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert [r["k"] for r in sinks.read_run(spark, path, 7).collect()] == [-1] and sinks.read_run(spark, path, 5).count() == 3
+
+
+def test_runs_of_a_shared_store_may_be_any_text(spark, tmp_path):
+    path, runs = str(tmp_path / "acc"), ["a", "b c", "d=e", "7", "x-1", "", "run_id=a"]
+    sinks.write_by_run(spark.createDataFrame([(run, k) for run in runs for k in range(len(run) + 1)], "run_id string, k int"), path, shared=True)
+    for run in runs:
+        assert sorted(r["k"] for r in sinks.read_run(spark, path, run).collect()) == list(range(len(run) + 1))
+    assert sinks.read_run(spark, path, "none").count() == 0
+
+
 def test_arriving_rows_are_flagged_once(spark, tmp_path, monkeypatch):
     folder, kept = tmp_path / "in" / "a", []
     folder.mkdir(parents=True)
