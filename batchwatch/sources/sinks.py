@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from batchwatch.functions.cells import finite
 from batchwatch.sources.storage import stored
 
-# Stores on disk are laid out by them.
-FOLDER, FOLDERS = "run_folder", 256
+# Stores on disk are laid out by them. Up to 200 pieces, Spark writes a shuffle without sorting it first.
+FOLDER, FOLDERS = "run_folder", 200
 
 
 def write_by_run(df: DataFrame, path: str, run: str = "run_id", shared: bool = False) -> None:
